@@ -16,6 +16,8 @@ BROADCAST_ROWS = 1_000_000
 
 #: Characters of text that a Python worker handles at once.
 CHUNK_CHARS = 2_000_000
+#: Rows that it handles at once.
+CHUNK_ROWS = 1024
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +62,13 @@ def bounded_ids(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(n)
 
 
+def labelled_texts(docs: DataFrame, labelled: DataFrame, n: int) -> DataFrame:
+    """(doc_id, y, text) of at most ``n`` labelled documents; of a repeated doc_id the largest text counts."""
+    ids = cut(bounded_ids(labelled.join(docs.select("doc_id"), "doc_id", "left_semi"), n))
+    taken = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return taken.groupBy("doc_id", "y").agg(F.max("text").alias("text"))
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their texts (null: empty), each of about CHUNK_CHARS characters or one row."""
     for batch in batches:
@@ -68,7 +77,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Ite
         col = batch.column(batch.schema.get_field_index(column))
         size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = (np.cumsum(size) - size) // CHUNK_CHARS
-        cuts = np.flatnonzero(np.diff(part)) + 1
+        cuts = np.flatnonzero(np.diff(part) | np.diff(np.arange(len(size)) // CHUNK_ROWS)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             piece = batch.slice(a, b - a)
             yield piece, [t or "" for t in piece.column(piece.schema.get_field_index(column)).to_pylist()]
@@ -90,8 +99,12 @@ class WordTable(dict):
         self.new.append(self.make(word))
         return k
 
-    def rows(self, words: list[str]) -> np.ndarray:
+    def rows(self, words: list) -> np.ndarray:
         """One row for each word."""
+        return self.find(words)[1]
+
+    def find(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's index, which no other word has until ``trim``, and its row."""
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:
             first = len(self) - len(self.new)
@@ -99,7 +112,7 @@ class WordTable(dict):
                 self.table = np.concatenate((self.table, np.zeros((len(self) + len(self.table), self.table.shape[1]), np.uint64)))
             self.table[first : len(self)] = np.array(self.new, np.uint64)
             self.new = []
-        return self.table[at]
+        return at, self.table[at]
 
     def trim(self) -> None:
         if len(self) > self.most:

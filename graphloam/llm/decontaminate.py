@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, cut, mix, small_side, text_batches
+from .common import cut, mix, small_side, text_batches
+from .words import DIGIT, LETTER, SPACE, UPPER, Hasher, Texts, word_hash
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -19,58 +18,70 @@ COVERAGE = 0.8
 MAP_BITS = 26
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
-NUMERAL = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*%?$")
-WITH_UNIT = re.compile(r"[-+]?[$€£]?\d[\d.,]*[^\W\d_]{1,4}$")
 # Spelled numbers and common units of measure.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 UNITS = frozenset("mm cm m km in ft yd mi mile miles meter meters metre metres inch inches foot feet yard yards g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces l ml liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kmh kph hz khz mhz ghz watt watts volt volts joule joules".split())
-EDGE = " .,;:!?\"'()[]{}<>«»“”‘’…-–—*_#|"
-ENDS = (".", "!", "?", ":")
+EDGE = ".,;:!?\"'()[]{}<>«»“”‘’…-–—*_#|"
+CLOSERS = "\"')]}»”’"
+STOPS = ".!?:"
+IN_NUMBERS = "+-$€£.,:/%"
 
-#: Columns of a word's row: hash of the bare word, its type as a literal, whether it is capitalised, whether it ends a sentence.
-HASH, KIND, CAPITAL, STOP = range(4)
 
+def _has(x: np.ndarray, chars: str) -> np.ndarray:
+    table = np.zeros(0x110000, bool)
+    table[[ord(c) for c in chars]] = True
+    return table[x]
 
-def _word(word: str) -> tuple[int, int, int, int]:
-    bare = word.strip(EDGE)
-    low = bare.lower()
-    kind = NUMBER if low in NUMBER_WORDS or NUMERAL.match(low) or WITH_UNIT.match(low) else UNIT if low in UNITS else LITERAL
-    if not low:
-        kind = 9  # punctuation only: no token
-    stop = word.rstrip("\"')]}»”’").endswith(ENDS)
-    return xxhash.xxh64_intdigest(low.encode()), kind, int(bare[:1].isupper() and bare.isalpha()), int(stop)
+
+def _among(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[np.clip(np.searchsorted(table, h), 0, len(table) - 1)] == h
 
 
 class Templates:
     """Typed tokens and window hashes of many texts at once."""
 
     def __init__(self, window: int = WINDOW):
-        self.window, self.words = window, WordTable(_word, 4)
+        self.window = window
         rng = np.random.default_rng(41)
         self.place = rng.integers(1, 1 << 63, window, dtype=np.uint64) | np.uint64(1)
         self.typed = mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.lower = np.arange(0x110000, dtype=np.uint32)
+        for k in range(0x110000):
+            c = chr(k)
+            if c.isupper() and len(low := c.lower()) == 1:
+                self.lower[k] = ord(low)
+        self.spelled, self.units = (np.array(sorted(map(word_hash, ws)), np.uint64) for ws in (NUMBER_WORDS, UNITS))
 
     def tokens(self, texts: list[str]):
         """(raw, kind, own, start): word hashes, types, the text of each token, and each text's first token."""
-        words: list[str] = []
-        breaks: list[int] = []
-        sizes = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            before = len(words)
-            for line in text.split("\n"):
-                breaks.append(len(words))
-                words += line.split()
-            sizes[k] = len(words) - before
-        self.words.trim()
-        rows = self.words.rows(words)
-        own = np.repeat(np.arange(len(texts)), sizes)
-        first = np.zeros(len(words) + 1, bool)
-        first[breaks] = True
-        first[1:] |= np.append(rows[:, STOP] == 1, False)[: len(words)]
-        kind = rows[:, KIND].astype(np.int8)
-        kind[(kind == LITERAL) & (rows[:, CAPITAL] == 1) & ~first[: len(words)]] = NAME
-        real = kind != 9
-        own, kind, raw = own[real], kind[real], rows[real, HASH]
+        t = Texts(texts)
+        n = len(t.x)
+        here = np.arange(n)
+        outer = _has(t.x, EDGE) | (t.kind == SPACE)
+        after = np.minimum.accumulate(np.where(outer, n, here)[::-1])[::-1]
+        before = np.maximum.accumulate(np.where(outer, -1, here))
+        start, end = after[t.start], before[t.end - 1] + 1  # the word without punctuation around it
+        real = np.flatnonzero(start < t.end)
+        own, a, b = t.own[real], start[real], end[real]
+        raw = Hasher(self.lower[t.x])(a, b)
+
+        def count(mask):
+            c = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
+            return c[b] - c[a]
+
+        letter = (t.kind & 7) == LETTER
+        digits, letters, size = count(t.kind == DIGIT), count(letter), b - a
+        numeral = (digits > 0) & (digits + count(_has(t.x, IN_NUMBERS)) + letters == size)
+        numeral &= (letters == 0) | ((letters <= 4) & letter[b - 1] & ~letter[a])  # 5, 3.5%, 12:30, 5km
+        kind = np.where(numeral | _among(raw, self.spelled), NUMBER, np.where(_among(raw, self.units), UNIT, LITERAL)).astype(np.int8)
+        # a capital inside a sentence makes a name
+        inner = np.maximum.accumulate(np.where(_has(t.x, CLOSERS), -1, here))
+        stop = _has(t.x[inner[t.end - 1]], STOPS)
+        line = np.concatenate(([0], np.cumsum(t.x == 10)))
+        fresh = np.ones(len(t.start), bool)
+        fresh[1:] = stop[:-1] | (line[t.start[1:]] > line[t.end[:-1]])
+        name = (kind == LITERAL) & (t.kind[a] == LETTER + UPPER) & (letters == size) & ~fresh[real]
+        kind[name] = NAME
         return raw, kind, own, np.searchsorted(own, np.arange(len(texts) + 1))
 
     def windows(self, raw, kind, own) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_batches
+from .words import Hasher
 
 CAPACITY = 2048
 END = 0
@@ -19,55 +22,122 @@ GROUP = 4096
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 6
 #: Sequences filled less than this are opened again and their pieces packed anew with those of other groups.
 OPEN_BELOW = 0.97
-WORDS = 200_000
+#: Words whose ids a worker keeps.
+WORDS = 400_000
+#: Characters of words that are encoded in one go.
+BATCH = 20_000
+
+# The white space and the contractions of the tokenizer's splitting pattern.
+WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+BLANK, WORD, NUMERAL, MARK = range(4)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    out = np.full(0x110000, MARK, np.int8)
+    for k in range(0x110000):
+        kind = unicodedata.category(chr(k))[0]
+        out[k] = WORD if kind == "L" else NUMERAL if kind == "N" else MARK
+    out[WHITE] = BLANK
+    return out
 
 
 class Tokens:
-    """Ids of whole texts.  The tokenizer drops white space and no merge spans it, so words are encoded once and kept."""
+    """Ids of whole texts, the same as the tokenizer's.
+
+    Its splitting pattern (runs of letters, single numerals, runs of other marks, contractions; white space is dropped)
+    is applied to arrays of code points; each distinct part is encoded once by the tokenizer and its ids are kept.  Texts
+    that the tokenizer would normalise in other ways, or that hold strings of its special tokens, are encoded whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a part
+        self.last[[k for w, k in vocab.items() if w.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.reset()
 
     def reset(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin, self.size, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def learn(self, words: list[str]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.at))
-        if not new:
-            return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, n = int(sizes.sum()), len(self.at)
+    def plain(self, text: str) -> bool:
+        return unicodedata.is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text and not any(s in text for s in self.special)
+
+    def learn(self, hashes: list[int], parts: list[str]) -> None:
+        """Keep the ids of new parts; many are encoded as one text, in which the ids that end a part show where each ends."""
+        size = np.cumsum([len(w) + 1 for w in parts])
+        cuts = np.searchsorted(size, np.arange(0, size[-1] + BATCH, BATCH))
+        joined = [" ".join(parts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(parts):
+            raise ValueError("the tokenizer splits words in another way")
+        total, n = len(ids), len(self.at)
         if self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros(len(self.flat) + total, np.uint32)))
-        if n + len(new) > len(self.begin):
-            more = np.zeros(len(self.begin) + len(new), np.int64)
+        if n + len(parts) > len(self.begin):
+            more = np.zeros(len(self.begin) + len(parts), np.int64)
             self.begin, self.size = np.concatenate((self.begin, more)), np.concatenate((self.size, more))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.begin[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(new)] = sizes
+        self.flat[self.used : self.used + total] = ids
+        first = np.concatenate(([0], ends[:-1]))
+        self.begin[n : n + len(parts)] = self.used + first
+        self.size[n : n + len(parts)] = ends - first
         self.used += total
-        self.at.update(zip(new, range(n, n + len(new)), strict=True))
+        self.at.update(zip(hashes, range(n, n + len(parts)), strict=True))
+
+    def parts(self, texts: list[str]):
+        """(joined text, start, end, text of each part)."""
+        joined = "\n".join([*texts, ""])
+        x = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _kinds()[x]
+        first = np.ones(len(x), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMERAL)
+        lone = np.flatnonzero((x[:-1] == 39) & first[:-1] & (kind[1:] == WORD))  # an apostrophe alone before a letter
+        for c in CONTRACTIONS:
+            ok = lone[lone + len(c) < len(x)]
+            for k, letter in enumerate(c[1:], 1):
+                ok = ok[x[ok + k] == ord(letter)]
+            first[ok + 1] = False
+            first[ok + len(c)] = True
+        start = np.flatnonzero(first)
+        end = np.append(start[1:], len(x))
+        real = kind[start] != BLANK
+        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        start, end = start[real], end[real]
+        return joined, x, start, end, np.searchsorted(start, np.cumsum(size) - size)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.at) > WORDS:
             self.reset()
-        split = [t.split() for t in texts]
-        flat = [w for ws in split for w in ws]
-        self.learn(flat)
-        at = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.begin[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        words = np.cumsum([0, *map(len, split)])
-        cuts = np.concatenate(([0], ends))[words]
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        out: list = [None] * len(texts)
+        plain = [self.plain(t) for t in texts]
+        whole = [k for k, ok in enumerate(plain) if not ok]
+        for k, e in zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False) if whole else [], strict=True):
+            out[k] = np.array(e.ids, np.uint32)
+        rest = [k for k, ok in enumerate(plain) if ok]
+        if not rest:
+            return out
+        joined, x, start, end, cuts = self.parts([texts[k].lower() for k in rest])
+        h, at, back = np.unique(Hasher(x)(start, end), return_index=True, return_inverse=True)
+        keys = h.tolist()
+        new = [k for k, v in enumerate(keys) if v not in self.at]
+        if new:
+            self.learn([keys[k] for k in new], [joined[start[at[k]] : end[at[k]]] for k in new])
+        found = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))[back]
+        size = self.size[found]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = self.flat[np.repeat(self.begin[found] - ends[:-1], size) + np.arange(ends[-1])]
+        cuts = ends[np.append(cuts, len(start))]
+        for k, a, b in zip(rest, cuts[:-1], cuts[1:], strict=True):
+            out[k] = ids[a:b]
+        return out
 
 
 def _pieces(path: str, capacity: int, end: int):
