@@ -20,6 +20,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(v, comp) of every vertex of ``edges``: comp is the smallest vertex that it reaches."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
     now = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("p")).distinct())
+    if now.isEmpty():
+        return ends.select("v", F.col("v").alias("comp"))
     mark = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("p").alias("u"), F.col("u").alias("p")))
