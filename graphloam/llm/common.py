@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import cut
+
 #: Rows of (id, flag) that a broadcast may hold: about 100 MB as a hash relation.
 BROADCAST_ROWS = 1_000_000
 
@@ -24,21 +25,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset (tests) a temporary folder."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from the written rows."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if ``df`` is counted to have at most ``rows`` rows; beyond that Spark shuffles it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -83,42 +69,6 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Ite
             yield piece, [t or "" for t in piece.column(piece.schema.get_field_index(column)).to_pylist()]
 
 
-class WordTable(dict):
-    """word -> row of a table of unsigned 64-bit values that ``make`` gives once for each word.
-
-    The table is bounded: ``trim`` empties it when it holds over ``most`` words, so its size never follows the corpus.
-    """
-
-    def __init__(self, make, columns: int, most: int = 300_000):
-        super().__init__()
-        self.make, self.most, self.new = make, most, []
-        self.table = np.zeros((1024, columns), np.uint64)
-
-    def __missing__(self, word):
-        self[word] = k = len(self)
-        self.new.append(self.make(word))
-        return k
-
-    def rows(self, words: list) -> np.ndarray:
-        """One row for each word."""
-        return self.find(words)[1]
-
-    def find(self, words: list) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's index, which no other word has until ``trim``, and its row."""
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            first = len(self) - len(self.new)
-            if len(self) > len(self.table):
-                self.table = np.concatenate((self.table, np.zeros((len(self) + len(self.table), self.table.shape[1]), np.uint64)))
-            self.table[first : len(self)] = np.array(self.new, np.uint64)
-            self.new = []
-        return at, self.table[at]
-
-    def trim(self) -> None:
-        if len(self) > self.most:
-            self.clear()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply) over an array of unsigned integers."""
     h = h.astype(np.uint64, copy=True)

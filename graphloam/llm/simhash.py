@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import cut, text_batches
 
 #: Five blocks of the 64 bits.  Two differing bits touch two blocks at most, so three blocks are equal.
@@ -178,37 +179,13 @@ def link_fingerprints(distinct: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     return keyed.select("k.combo", "k.key", "fp").repartition("combo", "key").sortWithinPartitions("combo", "key").mapInArrow(_links(budget), "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each linked node reaches, by alternating large and small stars.
-
-    Each round is written to the checkpoint folder.  It ends when a round changes no link; ``rounds`` is far above the
-    logarithmic number that is needed and reaching it is an error.
-    """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    mark = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).where("u <> v").distinct()
-        edges = cut(small)
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if tuple(now) == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = tuple(now)
-    raise RuntimeError("components did not settle")
-
-
 def _grouped(docs: DataFrame, words: int, budget: int) -> DataFrame:
     """(doc_id, th, fp, root, component_id, n_copies) of every row; th tells the texts of a repeated doc_id apart."""
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     fps = cut(hashed.mapInArrow(_fingerprints(words), "doc_id long, th long, fp long"))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies")))
-    comp = components(link_fingerprints(distinct, budget))
-    of = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", "first_id", "n_copies", F.coalesce("root", "fp").alias("root"))
+    comp = components(link_fingerprints(distinct, budget).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    of = distinct.join(comp, distinct.fp == comp.v, "left").select("fp", "first_id", "n_copies", F.coalesce("comp", "fp").alias("root"))
     first = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return fps.join(cut(of.join(first, "root").select("fp", "root", "component_id", "n_copies")), "fp")
 
