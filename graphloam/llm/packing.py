@@ -214,7 +214,7 @@ class Packer:
         """Inject well-filled bins of ``other`` whole; bins of ``mine`` that share a piece with them are dissolved and
         the displaced pieces go, longest first, to where they fit best."""
         fill = self.fills(other)
-        well = np.flatnonzero(fill >= max(0.98 * self.capacity, np.quantile(fill, 0.6)))
+        well = np.flatnonzero(fill >= min(max(0.98 * self.capacity, np.quantile(fill, 0.6)), fill.max()))
         chosen = np.zeros(len(fill), bool)
         chosen[self.rng.choice(well, max(1, len(well) // 2), replace=False)] = True
         inside = chosen[other]
