@@ -84,16 +84,27 @@ class Templates:
         kind[name] = NAME
         return raw, kind, own, np.searchsorted(own, np.arange(len(texts) + 1))
 
-    def windows(self, raw, kind, own) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all windows, and where they begin."""
+    def _hashes(self, code: np.ndarray) -> np.ndarray:
+        n = len(code) - self.window + 1
+        with np.errstate(over="ignore"):
+            return mix(sum((code[k : k + n] * self.place[k] for k in range(self.window)), np.zeros(n, np.uint64)))
+
+    def windows(self, raw, kind, own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all windows, where they begin, and of each whether its names were taken as plain words.
+
+        A window with a name is given twice, with the name as a slot and as a word, so that it also meets texts in which
+        capitals say nothing."""
         n = len(raw) - self.window + 1
         if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        code = np.where(kind == LITERAL, raw, self.typed[kind])
-        with np.errstate(over="ignore"):
-            h = sum((code[k : k + n] * self.place[k] for k in range(self.window)), np.zeros(n, np.uint64))
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
         at = np.flatnonzero(own[:n] == own[self.window - 1 :])
-        return mix(h[at]), at
+        h = self._hashes(np.where(kind == LITERAL, raw, self.typed[kind]))[at]
+        names = np.concatenate(([0], np.cumsum(kind == NAME)))
+        twice = at[names[at + self.window] > names[at]]
+        if not len(twice):
+            return h, at, np.zeros(len(at), bool)
+        g = self._hashes(np.where((kind == LITERAL) | (kind == NAME), raw, self.typed[kind]))[twice]
+        return np.concatenate((h, g)), np.concatenate((at, twice)), np.arange(len(at) + len(twice)) >= len(at)
 
 
 def _window_rows(window: int, seen=None, with_size: bool = False):
@@ -106,15 +117,16 @@ def _window_rows(window: int, seen=None, with_size: bool = False):
         bits = None if seen is None else np.frombuffer(seen.value, np.uint8)
         for piece, texts in text_batches(batches):
             raw, kind, own, start = made.tokens(texts)
-            h, at = made.windows(raw, kind, own)
+            h, at, plain = made.windows(raw, kind, own)
             if bits is not None:
                 k = h >> np.uint64(64 - MAP_BITS)
                 hit = (bits[k >> np.uint64(3)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                h, at = h[hit], at[hit]
+                h, at, plain = h[hit], at[hit], plain[hit]
             if not len(at):
                 continue
             slot = np.where(kind == LITERAL, np.uint64(0), raw).view(np.int64)
-            slots = slot[at[:, None] + np.arange(window)]
+            here = at[:, None] + np.arange(window)
+            slots = np.where(plain[:, None] & (kind[here] == NAME), 0, slot[here])
             of = own[at]
             cols = [piece.column(0).take(pa.array(of)), piece.column(1).take(pa.array(of)), pa.array(at - start[of]), pa.array(h.view(np.int64))]
             cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * window), pa.array(slots.ravel())))
@@ -215,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     """(doc_id, item_id, coverage, first_word, last_word): the benchmark items that documents hold, also re-parameterised.
 
     A text is lower-cased, stripped of punctuation, and its numbers, names (capitalised inside a sentence) and units
-    become typed placeholders.  Windows of ``window`` tokens are hash-joined; a pair is reported if windows with
+    become typed placeholders (windows with names are also matched word by word).  Windows of ``window`` tokens are hash-joined; a pair is reported if windows with
     consistent slots on one alignment cover at least ``coverage`` of the item's tokens.  Items of fewer than ``window``
     tokens, null and empty texts hold no window and never match; a null doc_id or item_id is reported as null.  Identical
     rows are reported once.  Other columns aren't read.  Empty tables give an empty result.
