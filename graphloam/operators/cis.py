@@ -183,15 +183,15 @@ def expand_seeds(edges: DataFrame, seeds: DataFrame | None = None, lam: float =
 
         return grouped.repartition("seed").mapInPandas(run, kind)
     comp = cut(components(edges))
-    e = edges.join(comp, edges.src == comp.v).select("comp", "src", "dst", "w")
-    s = seeds.join(comp, seeds.member == comp.v).select("comp", "seed", "member")
+    e = edges.join(comp.select(F.col("v").alias("ev"), F.col("comp").alias("ecomp")), F.col("src") == F.col("ev")).select("ecomp", "src", "dst", "w")
+    s = seeds.join(comp.select(F.col("v").alias("sv"), F.col("comp").alias("scomp")), F.col("member") == F.col("sv")).select("scomp", "seed", "member")
 
     def grow(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         graph = _graph(left.src.tolist(), left.dst.tolist(), left.w.tolist())
         rows = [(k, v, ok) for k, g in right.groupby("seed") for got, ok in [expand(graph, set(g.member.tolist()), lam, compat)] for v in got]
         return pd.DataFrame(rows, columns=["seed", "member", "converged"])
 
-    return e.groupBy("comp").cogroup(s.groupBy("comp")).applyInPandas(grow, kind)
+    return e.groupBy("ecomp").cogroup(s.groupBy("scomp")).applyInPandas(grow, kind)
 
 
 def detect_cis(edges: DataFrame, lam: float = 0.0, seeds: DataFrame | None = None, compat: bool = False) -> DataFrame:
