@@ -101,8 +101,6 @@ class Attention:
         size = np.diff(np.append(first, len(x)))
         rng = np.random.default_rng(3)
         start = np.concatenate([(rng.standard_normal(s) / np.sqrt(s[0]) * (len(s) > 1 or s[0] > 1)).ravel() for s in cls.SHAPE.values()])
-        groups = [np.flatnonzero(y == v) for v in (0, 1)]
-        groups = [g for g in groups if len(g)]
 
         def grad(p, _, rng):
             q = cls.parts(p)
