@@ -52,9 +52,8 @@ def result_log(lines: DataFrame) -> DataFrame:
 
 
 def smat(lines: DataFrame, pattern: bool = True) -> DataFrame:
-    """(src, dst, w) of ``i j v`` lines (0-based) after the header ``m n nnz``, duplicates summed.
+    """(src, dst, w) of ``i j v`` lines (0-based), duplicates summed; pass the lines without the header ``m n nnz``.
 
-    The header is the line without a decimal point in its third field... none is assumed: pass lines without it.
     ``pattern``: weights become 1 and the diagonal is dropped."""
     summed = weighted_edges(lines).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     return summed.where("src <> dst").withColumn("w", F.lit(1.0)) if pattern else summed
