@@ -62,6 +62,11 @@ def push_thresholds(n: int, t: float, eps: float, kdd: bool = False) -> list[flo
     return [scale / (n * p[j]) for j in range(n)]
 
 
+def push_budget(n_vertices: int) -> int:
+    """The usual limit of pushes from one seed: n ** 1.5, rounded up."""
+    return math.ceil(n_vertices**1.5)
+
+
 def heat_time(alpha: float) -> float:
     """The larger t with e**t / t = 1 / (1 - alpha), by bisection."""
     want, lo, hi = 1 / (1 - alpha), 1.0, 700.0

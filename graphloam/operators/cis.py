@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import EMPTY, density
-from .components import components, cut
-
-#: Edges that a broadcast adjacency may have; beyond it each connected component goes to its own task.
-BROADCAST_EDGES = 5_000_000
+from .seedwise import by_seed
 
 
 def community_stats(edges: DataFrame, cover: DataFrame) -> DataFrame:
@@ -155,43 +151,18 @@ def expand(graph: dict, seed: set, lam: float = 0.0, compat: bool = False, round
     return sorted(c.members), False
 
 
-def _graph(src, dst, w) -> dict:
-    out: dict = defaultdict(dict)
-    for a, b, x in zip(src, dst, w, strict=True):
-        out[a][b] = x
-    return out
-
-
 def expand_seeds(edges: DataFrame, seeds: DataFrame | None = None, lam: float = 0.0, compat: bool = False) -> DataFrame:
     """(seed, member, converged): the community that grows from each seed set (seed, member), by default each vertex.
 
-    Growth is sequential within a seed, so seeds are the unit of work.  The adjacency is broadcast if its edges are
-    counted to be at most BROADCAST_EDGES; else each connected component, which no growth can leave, is one group."""
+    Growth is sequential within a seed, so seeds are the unit of work; see ``by_seed``."""
     if seeds is None:
         seeds = edges.select(F.col("src").alias("seed"), F.col("src").alias("member")).distinct()
-    kind = "seed long, member long, converged boolean"
-    grouped = seeds.groupBy("seed").agg(F.array_sort(F.collect_set("member")).alias("m"))
-    if edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:
-        e = edges.select("src", "dst", "w").toPandas()
-        sent = edges.sparkSession.sparkContext.broadcast((e.src.to_numpy(), e.dst.to_numpy(), e.w.to_numpy()))
-
-        def run(batches):
-            graph = _graph(*(x.tolist() for x in sent.value))
-            for pdf in batches:
-                rows = [(s, v, ok) for s, m in zip(pdf.seed, pdf.m, strict=True) for got, ok in [expand(graph, set(m.tolist()), lam, compat)] for v in got]
-                yield pd.DataFrame(rows, columns=["seed", "member", "converged"])
-
-        return grouped.repartition("seed").mapInPandas(run, kind)
-    comp = cut(components(edges))
-    e = edges.join(comp.select(F.col("v").alias("ev"), F.col("comp").alias("ecomp")), F.col("src") == F.col("ev")).select("ecomp", "src", "dst", "w")
-    s = seeds.join(comp.select(F.col("v").alias("sv"), F.col("comp").alias("scomp")), F.col("member") == F.col("sv")).select("scomp", "seed", "member")
-
-    def grow(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        graph = _graph(left.src.tolist(), left.dst.tolist(), left.w.tolist())
-        rows = [(k, v, ok) for k, g in right.groupby("seed") for got, ok in [expand(graph, set(g.member.tolist()), lam, compat)] for v in got]
-        return pd.DataFrame(rows, columns=["seed", "member", "converged"])
-
-    return e.groupBy("ecomp").cogroup(s.groupBy("scomp")).applyInPandas(grow, kind)
+
+    def work(graph, members):
+        got, ok = expand(graph, set(members), lam, compat)
+        return [(v, ok) for v in got]
+
+    return by_seed(edges, seeds, work, "member long, converged boolean")
 
 
 def detect_cis(edges: DataFrame, lam: float = 0.0, seeds: DataFrame | None = None, compat: bool = False) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from random import Random
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +42,71 @@ def local_communities(edges: DataFrame, rounds: int = 99) -> DataFrame:
     return named.unionByName(named.select("ego", "label", F.col("ego").alias("member")).distinct())
 
 
-def detect_demon(edges: DataFrame, eps: float = 0.25, min_size: int = 1, max_iter: int = 100, inclusive: bool = False) -> DataFrame:
+def passing_labels(graph: dict, max_iter: int = 100, seed: int | None = None) -> dict[int, list[int]]:
+    """vertex -> labels after asynchronous propagation: each vertex reads what others have just taken.
+
+    graph: vertex -> {neighbour: weight of the vote}.  The first pass takes one label of the neighbours', later ones keep
+    all that tie for the most votes; every pass counts twice towards ``max_iter``.  Without ``seed`` vertices are
+    visited in id order and the first pass takes the smallest label, with it both are random.  A vertex without
+    neighbours keeps its own label.
+    """
+    labels: dict[int, list[int]] = {v: [v] for v in graph}
+    turns = sorted(v for v in graph if graph[v])
+    chance = None if seed is None else Random(seed)
+    for turn in range(-(-max_iter // 2)):
+        if chance:
+            chance.shuffle(turns)
+        changed = False
+        for v in turns:
+            votes: dict[int, float] = {}
+            for u, w in graph[v].items():
+                for x in labels[u]:
+                    votes[x] = votes.get(x, 0.0) + w
+            if turn == 0:
+                new = [chance.choice(sorted(votes)) if chance else min(votes)]
+            else:
+                most = max(votes.values())
+                new = sorted(x for x, n in votes.items() if n == most)
+            changed |= new != labels[v]
+            labels[v] = new
+        if turn and not changed:  # a pass that changes nothing is the last that could
+            break
+    return labels
+
+
+def local_communities_async(edges: DataFrame, max_iter: int = 100, vote: str = "unit", seed: int | None = None) -> DataFrame:
+    """(ego, label, member) by ``passing_labels`` in each vertex's neighbourhood; labels may overlap.
+
+    vote: ``unit`` or ``edge`` (by w).  The neighbourhood of one vertex is worked on in one task, as its visits are in
+    sequence; where that is too much, ``local_communities`` spreads the work by synchronous rounds."""
+    half = ego_minus_ego(edges)
+    if vote == "edge":
+        half = half.join(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w"), ["a", "b"])
+    else:
+        half = half.withColumn("w", F.lit(1.0))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ego = int(pdf.ego.iloc[0])
+        graph: dict[int, dict[int, float]] = {}
+        for a, b, w in sorted(zip(pdf.a.tolist(), pdf.b.tolist(), pdf.w.tolist(), strict=True)):
+            graph.setdefault(a, {})[b] = w
+            graph.setdefault(b, {})[a] = w
+        own = passing_labels(graph, max_iter, None if seed is None else hash((seed, ego)))
+        return pd.DataFrame([(ego, x, v) for v, xs in own.items() for x in xs], columns=["ego", "label", "member"])
+
+    labelled = cut(half.groupBy("ego").applyInPandas(run, "ego long, label long, member long"))
+    near = edges.select(F.col("src").alias("ego"), F.col("dst").alias("member")).where("ego <> member").distinct()
+    alone = near.join(labelled, ["ego", "member"], "left_anti").select("ego", F.col("member").alias("label"), "member")
+    named = labelled.unionByName(alone)
+    return named.unionByName(named.select("ego", "label", F.col("ego").alias("member")).distinct())
+
+
+def detect_demon(edges: DataFrame, eps: float = 0.25, min_size: int = 1, max_iter: int = 100, inclusive: bool = False, asynchronous: bool = False, vote: str = "unit") -> DataFrame:
     """(comm_id, member): local communities of all vertices, merged where they overlap by more than ``eps``.
 
-    ``max_iter - 1`` rounds are run, as the labels of the last round are not used."""
-    local = cut(local_communities(edges, max_iter - 1))
+    ``max_iter - 1`` synchronous rounds are run, as the labels of the last round are not used; ``asynchronous``: see
+    ``local_communities_async``, which also reads ``vote``."""
+    local = cut(local_communities_async(edges, max_iter, vote) if asynchronous else local_communities(edges, max_iter - 1))
     sets = local.groupBy("ego", "label").agg(F.array_sort(F.collect_set("member")).alias("m")).groupBy("m").agg(F.min(F.struct("ego", "label")).alias("k"))
     cover = sets.select(F.xxhash64("k.ego", "k.label").alias("comm_id"), F.explode("m").alias("member"))
     return merge_overlapping(cut(cover), eps, min_size, inclusive)

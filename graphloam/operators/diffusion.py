@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -117,32 +115,22 @@ def best_of_grid(edges: DataFrame, seeds: DataFrame, grid=((10.0, 1e-4), (20.0,
     return best.select("b.seed", "b.param", "b.conductance", "b.cut", "b.volume", "b.support", "b.size")
 
 
-def detect_hk(edges: DataFrame, t: float = 15.0, eps: float = 1e-4, seeds: DataFrame | None = None) -> DataFrame:
-    """(comm_id, member): best sweep sets of all seeds (by default each vertex), without those that others contain."""
+def first_hop(edges: DataFrame, seeds: DataFrame, t: float = 15.0, eps: float = 1e-4) -> DataFrame:
+    """(seed, v): each seed vertex and the neighbours whose residual after its first push reaches the threshold."""
+    n = taylor_degree(t, eps)
+    need = F.col("du") * push_thresholds(n, t, eps)[1] if n > 1 else F.lit(0.0)
+    e = _with_degree(edges).join(degrees(edges).select(F.col("v").alias("dst"), F.col("deg").alias("du")), "dst")
+    near = start(seeds).join(e, F.col("v") == F.col("src")).where(t * F.col("r") / F.col("deg") >= need)
+    return near.select("seed", F.col("dst").alias("v")).unionByName(seeds.select("seed", "v")).distinct()
+
+
+def detect_hk(edges: DataFrame, t: float = 15.0, eps: float = 1e-4, seeds: DataFrame | None = None, compat: bool = False) -> DataFrame:
+    """(comm_id, member): best sweep sets of all seeds (by default each vertex), without those that others contain.
+
+    ``compat``: in place of the best sweep set the whole support of one push from each seed, see ``first_hop``."""
     from .merge import maximal
 
     if seeds is None:
         seeds = edges.select(F.col("src").alias("seed"), F.col("src").alias("v")).distinct()
-    members = sweep(edges, hk_vector(edges, seeds, t, eps))[1]
+    members = first_hop(edges, seeds, t, eps) if compat else sweep(edges, hk_vector(edges, seeds, t, eps))[1]
     return maximal(cut(members.select(F.col("seed").alias("comm_id"), F.col("v").alias("member"))))
-
-
-def ppr_push(graph: dict, seeds: dict, alpha: float = 0.99, target_volume: int = 100) -> tuple[dict, int]:
-    """(vector, steps): the queue-ordered push, exact; graph: vertex -> neighbours in id order."""
-    eps = 1.0 / max(10 * target_volume, 100)
-    r, p = dict(seeds), {}
-    queue = deque(v for v in sorted(seeds) if r[v] > eps * len(graph[v]))
-    steps, most = 0, 1 / (eps * (1 - alpha))
-    while queue and steps < most:
-        u = queue.popleft()
-        d = len(graph[u])
-        moved = r[u] - 0.5 * eps * d
-        r[u] = 0.5 * eps * d
-        p[u] = p.get(u, 0.0) + (1 - alpha) * moved
-        steps += 1
-        for v in graph[u]:
-            was = r.get(v, 0.0)
-            r[v] = was + alpha * moved / d
-            if was <= eps * len(graph[v]) < r[v]:
-                queue.append(v)
-    return (p or r), steps

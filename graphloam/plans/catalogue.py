@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..functions import conductance, psi, push_thresholds, taylor_degree
-from ..operators import cis, components, demon, diffusion, graph, merge, metrics
+from ..functions import conductance, psi, push_budget, push_thresholds, taylor_degree
+from ..operators import cis, components, demon, diffusion, graph, merge, metrics, seedwise
 from .projections import nation_trade, order_cover, part_copurchase, region_cover, shared_lines, table
 
 QUERIES: dict = {}
@@ -397,6 +397,44 @@ def hk_sweep(spark, d):
     return _rounded(diffusion.sweep(e, diffusion.hk_vector(e, _all_seeds(e), HK_T, HK_EPS))[0])
 
 
+@query(f"WITH {trade_sql()}, {_hk_sql()} SELECT seed, v, round(x, 6) AS x FROM y")
+def hk_vector_queue(spark, d):
+    e = components.cut(nation_trade(spark, d))
+    return seedwise.hk_vector_exact(e, _all_seeds(e), HK_T, HK_EPS).select("seed", "v", F.round("x", 6).alias("x"))
+
+
+@query()
+def hk_vector_budget(spark, d):
+    e = components.cut(nation_trade(spark, d))
+    return seedwise.hk_vector_exact(e, _all_seeds(e), 5.0, HK_EPS, push_budget(e.select("src").distinct().count()))
+
+
+@query()
+def ppr_vector_queue(spark, d):
+    e = components.cut(nation_trade(spark, d))
+    return seedwise.ppr_vector_exact(e, _all_seeds(e), 0.9, 100)
+
+
+@query()
+def exponential_column(spark, d):
+    e = components.cut(nation_trade(spark, d))
+    return seedwise.exponential_columns(e, _all_seeds(e))
+
+
+_HOP = f"""{DEG}, k AS (SELECT e.src AS s, dst AS v FROM e JOIN d x ON x.v = src JOIN d y ON y.v = dst WHERE {HK_T} / x.deg >= y.deg * {_coefficients()[1][2]!r} UNION SELECT v, v FROM d),
+m AS (SELECT s, list(v ORDER BY v) AS m FROM k GROUP BY 1), u AS (SELECT min(s) AS comm_id, m FROM m GROUP BY m)"""
+
+
+@query(f"WITH {trade_sql()}, {_HOP} SELECT comm_id, unnest(m) AS member FROM u WHERE NOT EXISTS (SELECT 1 FROM u x WHERE len(x.m) > len(u.m) AND list_has_all(x.m, u.m))")
+def heat_kernel_cover_compat(spark, d):
+    return diffusion.detect_hk(components.cut(nation_trade(spark, d)), HK_T, HK_EPS, compat=True)
+
+
+@query()
+def demon_local_async(spark, d):
+    return demon.local_communities_async(part_copurchase(spark, d), 20, "edge")
+
+
 @query()
 def hk_best_of_grid(spark, d):
     e = components.cut(nation_trade(spark, d))

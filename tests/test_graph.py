@@ -4,8 +4,9 @@ import math
 
 import pytest
 from graphloam import functions, sources
-from graphloam.operators import cis, components, demon, diffusion, graph, merge, metrics
+from graphloam.operators import cis, components, demon, diffusion, graph, merge, metrics, seedwise
 from graphloam.streaming import stream_degrees
+from pyspark.sql import functions as F
 
 DEMO = "0 1 3|1 2 1|2 3 4|3 4 4|0 5 3|2 7 4|4 7 4|4 8 1"
 NETWORK = "1 2 1|1 3 1|2 3 1|3 4 1|3 5 1|3 6 1|4 5 1|4 6 1|5 6 1"
@@ -92,10 +93,19 @@ def test_cis_covers(spark, edges):
 def test_cis_by_component_equals_cis_by_broadcast(edges, monkeypatch):
     two = DEMO + "|100 101 1|101 102 2|102 100 1"
     whole = sets(cis.detect_cis(edges(two)))
-    monkeypatch.setattr(cis, "BROADCAST_EDGES", 3)
+    monkeypatch.setattr(seedwise, "BROADCAST_EDGES", 3)
     assert sets(cis.detect_cis(edges(two))) == whole
 
 
+def test_seed_sets_over_components_and_without_edges(spark, edges, monkeypatch):
+    e = edges("1 2 1|3 4 1")
+    seeds = spark.createDataFrame([(1, 1), (1, 3), (2, 99)], "seed long, v long")
+    whole = sorted(map(tuple, seedwise.hk_vector_exact(e, seeds, 2.0, 1e-2).collect()))
+    monkeypatch.setattr(seedwise, "BROADCAST_EDGES", 1)
+    assert sorted(map(tuple, seedwise.hk_vector_exact(e, seeds, 2.0, 1e-2).collect())) == whole
+    assert {(s, v) for s, v, *_ in whole} == {(1, 1), (1, 2), (1, 3), (1, 4), (2, 99)}
+
+
 def test_cis_compat_with_containment_fold(edges):
     grown = {}
     for r in cis.expand_seeds(edges(DEMO), compat=True).collect():
@@ -134,10 +144,70 @@ def test_exact_pagerank_push():
     for a, b, _ in triples(CLUSTERS):
         g.setdefault(a, set()).add(b)
         g.setdefault(b, set()).add(a)
-    vector, steps = diffusion.ppr_push({v: sorted(n) for v, n in g.items()}, {0: 1.0}, 0.99, 100)
+    vector, steps = seedwise.ppr_push({v: dict.fromkeys(sorted(n), 1.0) for v, n in g.items()}, {0: 1.0}, 0.99, 100)
     assert steps == 4809 and sum(vector.values()) < 1
 
 
+def test_exact_heat_kernel_push_and_its_budget(spark, edges):
+    e = edges(CLUSTERS)
+    seeds = spark.createDataFrame([(0, 0), (9, 9), (9, 13)], "seed long, v long")
+    rows = seedwise.hk_vector_exact(e, seeds, 5.0, 1e-2).collect()
+    x = {r.v: r.x for r in rows if r.seed == 0}
+    assert [x[k] for k in range(4)] == pytest.approx([18.919622, 9.194502, 13.962639, 14.433376], abs=1e-5) and len(x) == 16
+    assert {r.pushes for r in rows if r.seed == 0} == {416}
+    level = {(r.seed, r.v): r.x for r in diffusion.hk_vector(e, seeds, 5.0, 1e-2).collect()}
+    assert {(r.seed, r.v): r.x for r in rows} == pytest.approx(level)
+    budget = functions.push_budget(27)
+    assert budget == 141
+    short = seedwise.hk_vector_exact(e, seeds.where("seed = 0"), 5.0, 1e-2, budget).collect()
+    assert all(141 <= r.pushes < 146 for r in short) and sum(r.x for r in short) < sum(x.values())
+
+
+def test_exponential_column(spark, edges):
+    g = edges(CLUSTERS)
+    seeds = spark.createDataFrame([(1, 1), (500, 500)], "seed long, v long")
+    got = {(r.seed, r.v): r.x for r in seedwise.exponential_columns(g, seeds, 1e-9, 20).collect()}
+    rows = g.collect()
+    deg = {v: sum(r.src == v for r in rows) for v in range(27)}
+    exact, term = dict.fromkeys(range(27), 0.0), {1: 1.0}
+    for k in range(25):
+        for v, m in term.items():
+            exact[v] += m
+        after = {}
+        for r in rows:
+            after[r.dst] = after.get(r.dst, 0.0) + term.get(r.src, 0.0) / deg[r.src] / (k + 1)
+        term = after
+    assert all(got.get((1, v), 0.0) == pytest.approx(m, abs=1e-7) for v, m in exact.items())
+    assert got[(500, 500)] == 1.0
+    rough = {r.v: r.x for r in seedwise.exponential_columns(g, seeds.where("seed = 1")).collect()}
+    assert sum(abs(rough.get(v, 0.0) - m) for v, m in exact.items()) < 0.01 and len(rough) < 27
+
+
+def test_heat_kernel_compat_cover(edges):
+    got = sets(diffusion.detect_hk(edges(DEMO), 15.0, 1e-4, compat=True))
+    assert got == [[0, 1, 2], [0, 1, 5], [1, 2, 3, 7], [2, 3, 4], [2, 4, 7], [3, 4, 7, 8]]
+
+
+def test_asynchronous_labels(edges):
+    two = {1: {2: 1.0, 3: 1.0}, 2: {1: 1.0, 3: 1.0}, 3: {1: 1.0, 2: 1.0}, 7: {8: 1.0}, 8: {7: 1.0}, 9: {}}
+    assert demon.passing_labels(two, 0) == {v: [v] for v in two}
+    for seed in (None, 1, 2):
+        got = demon.passing_labels(two, 20, seed)
+        assert got[9] == [9] and got == demon.passing_labels(two, 20, seed)
+        assert all(x in (1, 2, 3) for v in (1, 2, 3) for x in got[v]) and all(x in (7, 8) for v in (7, 8) for x in got[v])
+    heavy = {1: {2: 5.0, 3: 1.0}, 2: {1: 5.0}, 3: {1: 1.0, 4: 9.0}, 4: {3: 9.0}}
+    for seed in (None, *range(5)):  # at rest every vertex has the labels that weigh most around it
+        got = demon.passing_labels(heavy, 100, seed)
+        for v, near in heavy.items():
+            votes = {x: sum(w for u, w in near.items() if x in got[u]) for u in near for x in got[u]}
+            assert got[v] == sorted(x for x, n in votes.items() if n == max(votes.values()))
+    local = demon.local_communities_async(edges(DEMO), 20, "edge")
+    assert {r.ego for r in local.collect()} == {0, 1, 2, 3, 4, 5, 7, 8}
+    assert local.join(local.selectExpr("ego e", "label l", "member m"), [local.ego == F.col("e"), local.label == F.col("l"), F.col("m") == local.ego], "left_anti").count() == 0
+    found = sets(demon.detect_demon(edges(DEMO), 0.25, 1, 10, asynchronous=True))
+    assert {v for s in found for v in s} == {0, 1, 2, 3, 4, 5, 7, 8} and all(len(s) > 1 for s in found)
+
+
 @pytest.mark.parametrize(("name", "want"), [("max", 1.714232), ("min", 1.562831), ("mul", 0.745403), ("exp", 0.113686)])
 def test_modularity(spark, edges, name, want):
     cover = cover_of(spark, [list(map(int, c.split("|"))) for c in KARATE_COVER])
