@@ -15,9 +15,11 @@ def symmetrize(edges: DataFrame, distinct: bool = True) -> DataFrame:
 
 
 def undirected(edges: DataFrame, pos: str, last: bool = False) -> DataFrame:
-    """Both directions of simple edges; of copies in either direction the first by ``pos`` counts, or the last."""
+    """Both directions of simple edges; of copies in either direction the first by ``pos`` counts, or the last.
+
+    Of copies at one ``pos`` the smallest weight is the first and the largest the last."""
     pick = F.max_by if last else F.min_by
-    one = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(pick("w", pos).alias("w"))
+    one = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(pick("w", F.struct(pos, "w")).alias("w"))
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
 

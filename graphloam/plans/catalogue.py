@@ -143,16 +143,16 @@ def encode_sorted(spark, d):
     return graph.encode_sorted(_directed(spark, d))
 
 
-def _dedup_sql(pick: str) -> str:
-    return f"WITH {_DIRECTED}, o AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, {pick}(w, pos) AS w FROM e0 WHERE src <> dst GROUP BY 1, 2) SELECT * FROM o UNION ALL SELECT dst, src, w FROM o"
+def _dedup_sql(order: str) -> str:
+    return f"WITH {_DIRECTED}, o AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, first(w ORDER BY pos {order}, w {order}) AS w FROM e0 WHERE src <> dst GROUP BY 1, 2) SELECT * FROM o UNION ALL SELECT dst, src, w FROM o"
 
 
-@query(_dedup_sql("arg_min"))
+@query(_dedup_sql("ASC"))
 def undirected_dedup_first(spark, d):
     return graph.undirected(_directed(spark, d), "pos")
 
 
-@query(_dedup_sql("arg_max"))
+@query(_dedup_sql("DESC"))
 def undirected_dedup_last(spark, d):
     return graph.undirected(_directed(spark, d), "pos", last=True)
 

@@ -229,6 +229,12 @@ def test_components_and_merges(spark):
     assert merge.fold([[1, 2, 3], [2, 3, 4], [7]], "epsilon", 0.25, 1) == [[1, 2, 3, 4]]
 
 
+def test_simple_edges_of_copies_at_one_position(spark):
+    e = spark.createDataFrame([(1, 2, 5.0, 1), (2, 1, 3.0, 1), (1, 2, 9.0, 2), (2, 1, 7.0, 2), (4, 4, 1.0, 0)], "src long, dst long, w double, pos long")
+    assert {tuple(r) for r in graph.undirected(e, "pos").collect()} == {(1, 2, 3.0), (2, 1, 3.0)}
+    assert {tuple(r) for r in graph.undirected(e, "pos", last=True).collect()} == {(1, 2, 9.0), (2, 1, 9.0)}
+
+
 def test_parsers_take_malformed_lines(spark):
     lines = spark.createDataFrame([(x,) for x in ["# c", "", "  1\t2  3.5 ", "3 4", "5 6 x", "7", "a b 1", None]], "value string")
     assert sorted(map(tuple, sources.weighted_edges(lines).collect())) == [(1, 2, 3.5), (3, 4, 1.0)]
