@@ -8,10 +8,10 @@ from pyspark.sql.window import Window
 
 
 def symmetrize(edges: DataFrame, distinct: bool = True) -> DataFrame:
-    """Both directions of every edge, self loops dropped; ``distinct``: each once."""
+    """Both directions of every edge, self loops dropped; ``distinct``: each once, with the smallest of its weights."""
     e = edges.where("src <> dst")
     both = e.select("src", "dst", "w").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    return both.dropDuplicates(["src", "dst"]) if distinct else both
+    return both.groupBy("src", "dst").agg(F.min("w").alias("w")) if distinct else both
 
 
 def undirected(edges: DataFrame, pos: str, last: bool = False) -> DataFrame:

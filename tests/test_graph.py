@@ -231,6 +231,7 @@ def test_components_and_merges(spark):
 
 def test_simple_edges_of_copies_at_one_position(spark):
     e = spark.createDataFrame([(1, 2, 5.0, 1), (2, 1, 3.0, 1), (1, 2, 9.0, 2), (2, 1, 7.0, 2), (4, 4, 1.0, 0)], "src long, dst long, w double, pos long")
+    assert {tuple(r) for r in graph.symmetrize(e).collect()} == {(1, 2, 3.0), (2, 1, 3.0)}
     assert {tuple(r) for r in graph.undirected(e, "pos").collect()} == {(1, 2, 3.0), (2, 1, 3.0)}
     assert {tuple(r) for r in graph.undirected(e, "pos", last=True).collect()} == {(1, 2, 9.0), (2, 1, 9.0)}
 
