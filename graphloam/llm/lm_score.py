@@ -1,68 +1,107 @@
-"""LM scoring (operator 4): cross-entropy difference of two bigram models that share one vocabulary."""
+"""LM scoring (operator 4): cross-entropy difference of two class-based bigram models that share one vocabulary."""
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, label_rows, mix, small_side, text_batches
-from .words import Texts, word_hash
+from .words import Texts
 
-#: The shared vocabulary: the most frequent words of the corpus, and classes by ending for all other words.
+#: The most frequent words are classes of their own; other words are classed by their endings.
 WORDS, CLASSES = 1024, 255
+#: Words seen so often over all texts have a probability of their own in their class; rarer ones of a class share one.
+LEAST = 5
 #: The weight of the bigram estimate, and what is added to each count.
 MIX, ADD = 0.7, 0.05
-
-
-def _count_words(batches):
-    seen: Counter[str] = Counter()
-    for _, texts in text_batches(batches):
-        for t in texts:
-            seen.update(t.lower().split())
-        if len(seen) > 200_000:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-
-def vocabulary(docs: DataFrame, words: int = WORDS) -> list[str]:
-    """The ``words`` most frequent lower-cased words over all texts, ties by the word."""
-    counts = docs.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
+#: Losses are whole numbers of 1/UNIT bits, so that sums don't depend on their order.
+UNIT = 1 << 20
+#: At most so many words' differences are sent to every worker (12 bytes each), frequent ones first; others are joined.
+HELD = 1 << 20
+#: Distinct words that a worker holds before it hands their counts on.
+COUNTED = 500_000
+#: Rows of one document that come back from one step of its repetition.
+REPEATS = 4096
 
 
 class Ids:
-    """Numbers of words: those of the vocabulary their own, other words one by their ending; 0 is the end of a text."""
+    """Class numbers of words: the most frequent words' own, then those of endings; 0 is the end of a text."""
 
-    def __init__(self, words: list[str], classes: int = CLASSES):
-        pairs = sorted((word_hash(w), k + 1) for k, w in enumerate(words))
+    def __init__(self, words: list[int], classes: int = CLASSES):
+        """words: hashes of the most frequent words."""
+        pairs = sorted((w & ((1 << 64) - 1), k + 1) for k, w in enumerate(words))
         self.key = np.array([a for a, _ in pairs] or [0], np.uint64)
         self.number = np.array([b for _, b in pairs] or [0], np.int64)
+        self.known = len(pairs) > 0
         self.first, self.classes, self.size = len(words) + 1, classes, len(words) + 1 + classes
 
-    def pairs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(codes of (token before, token) in order, number of tokens of each text); the end is a token too."""
+    def tokens(self, texts: list[str]) -> tuple[Texts, np.ndarray, np.ndarray]:
+        """(words, hash and class number of each)."""
         t = Texts([x.lower() for x in texts])
         hasher = t.hasher()
         h = hasher(t.start, t.end)
-        at = np.clip(np.searchsorted(self.key, h), 0, len(self.key) - 1)
         ending = mix(hasher(np.maximum(t.start, t.end - 3), t.end)) % np.uint64(self.classes)
-        ids = np.where(self.key[at] == h, self.number[at], self.first + ending.astype(np.int64))
-        line = np.zeros(len(ids) + len(texts), np.int64)
+        ids = self.first + ending.astype(np.int64)
+        if self.known:
+            at = np.clip(np.searchsorted(self.key, h), 0, len(self.key) - 1)
+            ids = np.where(self.key[at] == h, self.number[at], ids)
+        return t, h, ids
+
+    def pairs(self, t: Texts, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of (class before, class) in order, number of tokens of each text); the end is a token too."""
+        line = np.zeros(len(ids) + t.n, np.int64)
         line[np.arange(len(ids)) + t.own] = ids
         return np.concatenate(([0], line[:-1])) * self.size + line, t.count + 1
 
 
+def _merged(parts: list[tuple]) -> tuple:
+    """One row for each word of the parts (hash, ending, n, n_target)."""
+    h, ending, n, target = (np.concatenate(x) for x in zip(*parts, strict=True))
+    found, at, back = np.unique(h, return_index=True, return_inverse=True)
+    return found, ending[at], *(np.bincount(back, x, len(found)).astype(np.int64) for x in (n, target))
+
+
+def _count_words(classes: int):
+    def run(batches):
+        ids, held = Ids([], classes), []
+
+        def rows(part):
+            return pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), *map(pa.array, part[1:])], names=["w", "ending", "n", "n_target"])
+
+        for piece, texts in text_batches(batches):
+            t, h, own = ids.tokens(texts)
+            target = piece.column(0).to_numpy(zero_copy_only=False)[t.own].astype(np.int64)
+            held.append(_merged([(h, (own - ids.first).astype(np.int32), np.ones(len(h), np.int64), target)]))
+            if sum(len(p[0]) for p in held) > 2 * COUNTED:
+                held = [_merged(held)]
+                if len(held[0][0]) > COUNTED:
+                    yield rows(held.pop())
+        if held:
+            yield rows(_merged(held))
+
+    return run
+
+
+def word_counts(flagged: DataFrame, classes: int = CLASSES) -> DataFrame:
+    """(w, ending, n, n_target): of each word of ``flagged`` (t, text), by hash, its ending's class and counts."""
+    counts = flagged.mapInArrow(_count_words(classes), "w long, ending int, n long, n_target long")
+    return counts.groupBy("w").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+
+
+def most_frequent(counts: DataFrame, words: int = WORDS) -> list[int]:
+    """Hashes of the ``words`` most frequent words, ties by hash."""
+    return [r.w for r in counts.orderBy(F.desc("n"), "w").limit(words).select("w").collect()]
+
+
 def _count_pairs(words, classes):
     def run(batches):
         ids = Ids(words.value, classes)
         counts = np.zeros((2, ids.size * ids.size), np.int64)
         for piece, texts in text_batches(batches):
-            codes, n = ids.pairs(texts)
+            t, _, own = ids.tokens(texts)
+            codes, n = ids.pairs(t, own)
             target = np.repeat(piece.column(0).to_numpy(zero_copy_only=False) == 1, n)
             for k in (0, 1):
                 np.add.at(counts[k], codes[target == k], 1)
@@ -75,54 +114,135 @@ def _count_pairs(words, classes):
 
 
 def _loss(counts: np.ndarray) -> np.ndarray:
-    """-log2 p(word | word before), of a bigram estimate mixed with a unigram one; both have added counts."""
+    """-log2 p(class | class before), of a bigram estimate mixed with a unigram one; both have added counts."""
     size = len(counts)
     one = (counts.sum(0) + ADD) / (counts.sum() + ADD * size)
     two = (counts + ADD * one) / (counts.sum(1, keepdims=True) + ADD)
     return -np.log2(MIX * two + (1 - MIX) * one)
 
 
-def models(docs: DataFrame, target: DataFrame, words: list[str], classes: int = CLASSES) -> np.ndarray:
-    """loss under the target model less loss under the background model, for each pair of vocabulary entries.
+def class_differences(flagged: DataFrame, top: list[int], classes: int = CLASSES) -> np.ndarray:
+    """Loss under the target less that under the background model, of each pair of classes, in units.
 
-    The background model counts all texts, the target model those whose doc_id is in ``target`` (distinct ids).  The
-    table's size is that of the vocabulary squared, whatever the corpus.
+    The background model counts all texts, the target model those flagged.  The table's size is that of the classes
+    squared, whatever the corpus; what grows with it are the words within the classes.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-    flagged = docs.select("doc_id", "text").join(small_side(target.select("doc_id", F.lit(1).alias("t"))), "doc_id", "left").select(F.coalesce("t", F.lit(0)).alias("t"), "text")
+    sent = flagged.sparkSession.sparkContext.broadcast(top)
     counts = flagged.mapInArrow(_count_pairs(sent, classes), "pair long, n long, n_target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
-    size = Ids(words, classes).size
+    size = len(top) + 1 + classes
     table = np.zeros((2, size * size))
     pair = counts["pair"].to_numpy()
     table[0, pair], table[1, pair] = counts["n_target"].to_numpy(), counts["n"].to_numpy()
     target_loss, background_loss = (_loss(x.reshape(size, size)) for x in table)
-    return (target_loss - background_loss).astype(np.float32).ravel()
-
+    return np.rint((target_loss - background_loss) * UNIT).astype(np.int32).ravel()
+
+
+def word_differences(counts: DataFrame, top: list[int], classes: int = CLASSES, least: int = LEAST) -> tuple[DataFrame, np.ndarray]:
+    """((w, n, q), rare): the difference, in units, of each word within its class, and that of each class's rare words.
+
+    Only words outside ``top`` that are seen ``least`` times have a row."""
+    own = counts.sparkSession.createDataFrame([(w,) for w in top], "w long")
+    rest, often = counts.join(F.broadcast(own), "w", "left_anti"), F.col("n") >= least
+    part = lambda x, keep: F.sum(F.when(keep, F.col(x)).otherwise(0))
+    sums = rest.groupBy("ending").agg(F.sum("n").alias("n"), F.sum("n_target").alias("t"), F.sum(often.cast("long")).alias("size"), part("n", ~often).alias("rare_n"), part("n_target", ~often).alias("rare_t"))
+    base, rare = np.zeros(classes), np.zeros(classes)
+    for r in sums.collect():  # a row for each class
+        base[r.ending] = np.log2((r.t + ADD * (r.size + 1)) / (r.n + ADD * (r.size + 1)))
+        rare[r.ending] = np.log2((r.rare_n + ADD) / (r.rare_t + ADD)) + base[r.ending]
+    of = F.element_at(F.array(*map(F.lit, base.tolist())), F.col("ending") + 1)
+    q = F.round((F.log2((F.col("n") + ADD) / (F.col("n_target") + ADD)) + of) * UNIT).cast("int")
+    return rest.where(often).select("w", "n", q.alias("q")), np.rint(rare * UNIT).astype(np.int64)
+
+
+def _split(table: DataFrame, held: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame | None]:
+    """((hashes, differences) of the most frequent words, ``held`` at most; the other words' rows, None if there are none)."""
+    bucket = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    total, least, more = 0, None, False
+    for r in sorted(table.groupBy(bucket.alias("b")).count().collect(), key=lambda r: -r.b):  # 504 rows at most
+        total += r["count"]
+        if total > held:
+            more = True
+            break
+        least = r.b
+    got = table.where(bucket >= least).select("w", "q").toArrow() if least is not None else None
+    key = got["w"].to_numpy().view(np.uint64) if got else np.zeros(0, np.uint64)
+    q = got["q"].to_numpy() if got else np.zeros(0, np.int32)
+    order = np.argsort(key)
+    rest = (table if least is None else table.where(bucket < least)).select("w", "q") if more else None
+    return (key[order], q[order]), rest
+
+
+def _score(model, classes: int, joined: bool):
+    """(doc_id, th, text) -> (doc_id, n_tokens, score), or, if words remain to be joined, rows for ``_finish``."""
 
-def _score(words, classes, difference):
     def run(batches):
-        ids = Ids(words.value, classes)
+        top, pair, rare, key, value = model.value
+        ids = Ids(top, classes)
         for piece, texts in text_batches(batches):
-            codes, n = ids.pairs(texts)
-            s = np.add.reduceat(difference.value[codes].astype(float), np.cumsum(n) - n) / n
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array(s, pa.float64())], names=["doc_id", "n_tokens", "score"])
+            t, h, own = ids.tokens(texts)
+            codes, n = ids.pairs(t, own)
+            s = np.add.reduceat(pair[codes].astype(np.int64), np.cumsum(n) - n)
+            inner = np.flatnonzero(own >= ids.first)
+            word, text, base = h[inner], t.own[inner], rare[own[inner] - ids.first]
+            found = np.zeros(len(inner), bool)
+            add = base.copy()
+            if len(key):
+                at = np.clip(np.searchsorted(key, word), 0, len(key) - 1)
+                found = key[at] == word
+                add = np.where(found, value[at], base)
+            np.add.at(s, text, add)
+            if not joined:
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array(s / (n * float(UNIT)), pa.float64())], names=["doc_id", "n_tokens", "score"])
+                continue
+            word, text, base = word[~found], text[~found], base[~found]
+            order = np.lexsort((word, text))
+            word, text, base = word[order], text[order], base[order]
+            new = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (text[1:] != text[:-1])))) if len(word) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(word)))
+            take, zero = pa.array(np.concatenate((np.arange(len(texts)), text[new]))), np.zeros(len(texts), np.int64)
+            th = piece.column(1).to_numpy(zero_copy_only=False)
+            spread = mix(th.view(np.uint64) ^ np.uint64(len(texts)))  # a document's own row goes anywhere
+            cols = [np.concatenate((spread, word[new])).view(np.int64), np.concatenate((zero, times)), np.concatenate((zero, base[new])), np.concatenate((n, 0 * times)), np.concatenate((s, 0 * times))]
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(take), piece.column(1).take(take), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "th", "w", "times", "base", "n", "s"])
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, words: int = WORDS, classes: int = CLASSES) -> DataFrame:
+def _finish(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """Put the joined words' own differences in place of their class's, and add up each document.
+
+    What is joined are rare words (the frequent ones are held by the workers), so no word has many of the rows."""
+    own = F.col("s") + F.col("times") * (F.coalesce(F.col("q").cast("long"), F.col("base")) - F.col("base"))
+    sums = rows.join(rest, "w", "left").groupBy("doc_id", "th").agg(F.sum("n").alias("n"), F.sum(own).alias("s"), F.sum((F.col("n") > 0).cast("long")).alias("m"))
+    one = sums.select("doc_id", "m", (F.col("n") / F.col("m")).cast("long").alias("n_tokens"), (F.col("s") / (F.col("n") * F.lit(float(UNIT)))).alias("score"))
+    blocks = one.withColumn("b", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / REPEATS).cast("int"))))
+    each = F.explode(F.sequence(F.lit(1), F.least(F.lit(REPEATS), F.col("m") - F.col("b") * REPEATS).cast("int")))
+    return blocks.withColumn("k", each).select("doc_id", "n_tokens", "score")
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, words: int = WORDS, classes: int = CLASSES, least: int = LEAST, held: int = HELD) -> DataFrame:
     """(doc_id, n_tokens, score) of every row of ``docs``: mean bits a token, under the target less the background model.
 
-    Lower scores are more like the target.  Tokens are lower-cased words between white space and the end of the text.
-    ``target``: the doc_ids of the target texts; ids that are null, repeated or not in ``docs`` add nothing.  Both
-    models count every text.  Null and empty texts are one token, the end.  Without target texts the score shows how
-    far a text is from a uniform model.  Repeated rows come back as often as they went in; an empty table gives none.
+    A token's probability is that of its class after the class before, times its own within its class.  The vocabulary,
+    which both models share, is every word seen ``least`` times over all texts and, for each class, its rarer words as
+    one.  Lower scores are more like the target.  Tokens are lower-cased words between white space and the end of the
+    text.  ``target``: the doc_ids of the target texts; ids that are null, repeated or not in ``docs`` add nothing.
+    Both models count every text.  Null and empty texts are one token, the end.  Without target texts the score shows
+    how far a text is from a uniform model.  Repeated rows come back as often as they went in; an empty table gives
+    none.  ``held`` only decides how words reach their probabilities, not the result.
     """
-    vocab = vocabulary(docs, words)
     ids = cut(target.select("doc_id").where("doc_id is not null").distinct())
-    sc = docs.sparkSession.sparkContext
-    difference = sc.broadcast(models(docs, ids, vocab, classes))
-    return docs.select("doc_id", "text").mapInArrow(_score(sc.broadcast(vocab), classes, difference), "doc_id long, n_tokens long, score double")
+    flags = small_side(ids.select("doc_id", F.lit(1).alias("t")))
+    flagged = docs.select("doc_id", "text").join(flags, "doc_id", "left").select(F.coalesce("t", F.lit(0)).alias("t"), "text")
+    counts = cut(word_counts(flagged, classes))
+    top = most_frequent(counts, words)
+    table, rare = word_differences(counts, top, classes, least)
+    frequent, rest = _split(table, held)
+    model = docs.sparkSession.sparkContext.broadcast((top, class_differences(flagged, top, classes), rare, *frequent))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    if rest is None:
+        return rows.mapInArrow(_score(model, classes, False), "doc_id long, n_tokens long, score double")
+    return _finish(rows.mapInArrow(_score(model, classes, True), "doc_id long, th long, w long, times long, base long, n long, s long"), rest)
 
 
 def score_against_good(docs: DataFrame, labels: DataFrame, words: int = WORDS, classes: int = CLASSES) -> DataFrame:

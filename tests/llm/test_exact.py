@@ -4,12 +4,15 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 import xxhash
 from graphloam.llm import chat, decontaminate, line_dedup, lm_score, packing, queries, rules, simhash
+from graphloam.llm.common import mix
+from graphloam.llm.words import word_hash
 
 SMALL = "/root/testdata/sf0.001"
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -236,27 +239,63 @@ def test_rule_counts_match_brute_force(spark):
         assert not (g.base_failed and g.kept)
 
 
-def test_lm_score_matches_brute_force(spark):
-    rows = [(1, "the cat sat"), (2, "the dog sat on THE mat"), (3, ""), (4, None), (5, "qq ww ee"), (2, "the dog sat on THE mat"), (None, "the cat")]
-    target = [1, 5, 5, 77]
-    words = lm_score.vocabulary(docs_of(spark, rows), 3)
-    assert words == ["the", "sat", "cat"] or words[0] == "the"
-    ids = lm_score.Ids(words, 4)
-    lines = {k: [0, *[int(c % ids.size) for c in ids.pairs([r[1] or ""])[0]]] for k, r in enumerate(rows)}
-
-    def loss(lines):
-        size, n = ids.size, np.zeros((ids.size, ids.size))
-        for x in lines:
-            for a, b in zip(x, x[1:], strict=False):
+@pytest.mark.parametrize("held", [lm_score.HELD, 2, 0])
+def test_lm_score_matches_brute_force(spark, held):
+    rows = [(1, "the cat sat on a mat rat"), (2, "the dog sat on THE mat a rat"), (3, ""), (4, None), (5, "qq ww ee ww hat"), (2, "the dog sat on THE mat a rat"), (2, "another hat"), (None, "the cat hat bat")]
+    target, n_top, classes, least = [1, 5, 5, 77], 2, 3, 2
+    texts = [(r[0], (r[1] or "").lower().split()) for r in rows]
+    good = [t for t in texts if t[0] in target]
+    count = lambda part: Counter(w for _, ws in part for w in ws)
+    background, in_target = count(texts), count(good)
+    signed = lambda w: int(np.uint64(word_hash(w)).view(np.int64))
+    top = sorted(background, key=lambda w: (-background[w], signed(w)))[:n_top]
+    ending = lambda w: int(mix(np.array([word_hash(w[-3:])], np.uint64))[0] % np.uint64(classes))
+    group = lambda w: top.index(w) + 1 if w in top else 1 + n_top + ending(w)
+    size = 1 + n_top + classes
+
+    def class_loss(part):
+        n = np.zeros((size, size))
+        for _, ws in part:
+            line = [0, *map(group, ws), 0]
+            for a, b in zip(line, line[1:], strict=False):
                 n[a, b] += 1
         one = (n.sum(0) + lm_score.ADD) / (n.sum() + lm_score.ADD * size)
         two = (n + lm_score.ADD * one) / (n.sum(1, keepdims=True) + lm_score.ADD)
         return -np.log2(lm_score.MIX * two + (1 - lm_score.MIX) * one)
 
-    diff = loss([lines[k] for k, r in enumerate(rows) if r[0] in target]) - loss(lines.values())
-    want = sorted((str(r[0]), len(lines[k]) - 1, round(float(np.mean([diff[a, b] for a, b in zip(lines[k], lines[k][1:], strict=False)])), 4)) for k, r in enumerate(rows))
-    got = lm_score.cross_entropy_difference(docs_of(spark, rows), spark.createDataFrame([(t,) for t in [*target, None]], "doc_id long"), 3, 4).collect()
-    assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 4)) for r in got) == want
+    def word_loss(counts, w):
+        if w in top:
+            return 0.0
+        mates = [x for x in background if x not in top and group(x) == group(w)]
+        often = [x for x in mates if background[x] >= least]
+        n = counts[w] if w in often else sum(counts[x] for x in mates if x not in often)
+        return -np.log2((n + lm_score.ADD) / (sum(counts[x] for x in mates) + lm_score.ADD * (len(often) + 1)))
+
+    of_target, of_all = class_loss(good), class_loss(texts)
+    want = []
+    for doc_id, ws in texts:
+        line = [0, *map(group, ws), 0]
+        bits = [of_target[a, b] - of_all[a, b] for a, b in zip(line, line[1:], strict=False)] + [word_loss(in_target, w) - word_loss(background, w) for w in ws]
+        want.append((str(doc_id), len(ws) + 1, sum(bits) / (len(ws) + 1)))
+    got = lm_score.cross_entropy_difference(docs_of(spark, rows), spark.createDataFrame([(t,) for t in [*target, None]], "doc_id long"), n_top, classes, least, held).collect()
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], atol=1e-5)
+
+
+def test_lm_vocabulary_is_every_word_seen_often(spark):
+    rows = [(k, " ".join(f"w{j}x" for j in range(k, k + 40))) for k in range(400)]
+    flagged = spark.createDataFrame([(k % 2, t) for k, t in rows], "t int, text string")
+    counts = lm_score.word_counts(flagged, 7)
+    top = lm_score.most_frequent(counts, 10)
+    table, _ = lm_score.word_differences(counts, top, 7, 5)
+    seen = Counter(w for _, t in rows for w in t.split())
+    assert table.count() == sum(n >= 5 for n in seen.values()) - 10
+    (key, q), rest = lm_score._split(table, 100)
+    assert len(key) <= 100 and (np.diff(key.astype(float)) > 0).all() and len(key) + rest.count() == table.count()
+    docs = docs_of(spark, [*rows, *[(7, rows[7][1])] * 9000])
+    both = [sorted(map(tuple, lm_score.cross_entropy_difference(docs, docs.where("doc_id < 50"), 10, 7, 5, held).collect())) for held in (lm_score.HELD, 0)]
+    assert both[0] == both[1] and len(both[0]) == 9400
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
