@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import psi, push_thresholds, taylor_degree
-from .components import components, cut
+from .components import cut
 
-#: Edges that a broadcast adjacency may have; beyond it each connected component goes to its own task.
+#: Edges that a broadcast adjacency may have; beyond it seeds fetch the neighbourhoods they need.
 BROADCAST_EDGES = 5_000_000
 
 Graph = dict[int, dict[int, float]]
@@ -29,9 +29,9 @@ def adjacency(src, dst, w) -> Graph:
 def by_seed(edges: DataFrame, seeds: DataFrame, work: Callable[[Graph, list[int]], list[tuple]], fields: str, broadcast_edges: int | None = None) -> DataFrame:
     """(seed, *fields): the rows that ``work(graph, members)`` gives for each seed set of ``seeds`` (seed, member).
 
-    The adjacency is broadcast if its edges are counted to be at most ``broadcast_edges``.  Beyond that each connected
-    component, joined with those that share a seed set with it, is one group, so ``work`` sees the same neighbours
-    either way.  Members without an edge are no key of the graph.
+    The adjacency is broadcast if its edges are counted to be at most ``broadcast_edges``.  Beyond that seeds fetch the
+    neighbourhoods that their work looks at, see ``_by_request``; ``work`` sees the same neighbours either way, and must
+    look vertices up by ``graph[v]`` or ``graph.get(v)`` only.  Members without an edge have no neighbours.
     """
     most = BROADCAST_EDGES if broadcast_edges is None else broadcast_edges
     kind = f"seed long, {fields}"
@@ -47,18 +47,86 @@ def by_seed(edges: DataFrame, seeds: DataFrame, work: Callable[[Graph, list[int]
                 yield pd.DataFrame(rows, columns=names)
 
         return seeds.groupBy("seed").agg(F.array_sort(F.collect_set("member")).alias("m")).repartition("seed").mapInPandas(run, kind)
-    first = seeds.groupBy("seed").agg(F.min("member").alias("first"))
-    ties = seeds.join(first, "seed").select(F.col("first").alias("src"), F.col("member").alias("dst"))
-    comp = cut(components(edges.select("src", "dst").unionByName(ties)))
-    e = edges.join(comp.select(F.col("v").alias("ev"), F.col("comp").alias("ecomp")), F.col("src") == F.col("ev")).select("ecomp", "src", "dst", "w")
-    s = seeds.join(comp.select(F.col("v").alias("sv"), F.col("comp").alias("scomp")), F.col("member") == F.col("sv")).select("scomp", "seed", "member")
-
-    def grow(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        graph = adjacency(left.src.tolist(), left.dst.tolist(), left.w.tolist())
-        rows = [(k, *row) for k, g in right.groupby("seed") for row in work(graph, sorted(set(g.member.tolist())))]
-        return pd.DataFrame(rows, columns=names)
-
-    return e.groupBy("ecomp").cogroup(s.groupBy("scomp")).applyInPandas(grow, kind)
+    return _by_request(edges, seeds, work, fields)
+
+
+class Local(dict):
+    """The part of a graph that a seed has fetched; a vertex that is asked for and not there is noted in ``wanted``.
+
+    Until it is fetched it stands as a vertex whose one neighbour, without weight, is itself, so that a run goes on and
+    finds what else it will ask for.  ``SPARE`` lookups after the first such vertex end the run."""
+
+    SPARE = 20_000
+
+    def __init__(self, known: Graph):
+        super().__init__(known)
+        self.wanted: set[int] = set()
+        self.spare = self.SPARE
+
+    def __missing__(self, v: int) -> dict[int, float]:
+        self.wanted.add(v)
+        return {v: 0.0}
+
+    def __getitem__(self, v: int) -> dict[int, float]:
+        if self.wanted:
+            self.spare -= 1
+            if self.spare < 0:
+                raise Unfinished
+        return super().__getitem__(v)
+
+    def get(self, v: int, default=None) -> dict[int, float]:
+        return self[v]
+
+
+class Unfinished(Exception):
+    """A run has asked for more than it had."""
+
+
+#: What a row of a seed's state is: a member of its set, an edge it has fetched, or a vertex found to have none.
+MEMBER, EDGE, ALONE = range(3)
+
+
+def _by_request(edges: DataFrame, seeds: DataFrame, work: Callable[[Graph, list[int]], list[tuple]], fields: str) -> DataFrame:
+    """``by_seed`` for graphs of any size: each seed fetches the neighbourhoods that its work looks at, in rounds.
+
+    A round joins the requests of all unfinished seeds with the edges and runs each seed on what it has; a run that asks
+    for nothing new has seen all it needs, and its result stands.  A task holds one seed's fetched neighbourhoods.
+    """
+    names = [f.split()[0] for f in fields.split(",")]
+    blank = (None,) * len(names)
+    out_names = ["seed", "want", *names]
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        seed = int(pdf.seed.iloc[0])
+        own, near, alone = (pdf[pdf.kind == k] for k in (MEMBER, EDGE, ALONE))
+        known = {v: {} for v in alone.a.tolist()}
+        known |= adjacency(near.a.tolist(), near.b.tolist(), near.w.tolist())
+        graph, rows = Local(known), []
+        try:
+            rows = work(graph, sorted(set(own.a.tolist())))
+        except Unfinished:
+            pass
+        if graph.wanted:
+            found = [(seed, v, *blank) for v in sorted(graph.wanted)]
+        else:
+            found = [(seed, None, *row) for row in rows]
+        return pd.DataFrame(found, columns=out_names, dtype=object)
+
+    zero = F.lit(0).cast("long")
+    own = cut(seeds.where("member is not null").select("seed", F.lit(MEMBER).alias("kind"), F.col("member").alias("a"), zero.alias("b"), F.lit(0.0).alias("w")).distinct())
+    e = edges.select(F.col("src").alias("s"), F.col("dst").alias("b"), "w")
+    state, ask, done = own, own.select("seed", "a"), None
+    while True:
+        kind = F.when(F.col("s").isNull(), ALONE).otherwise(EDGE)
+        got = ask.join(e, ask.a == e.s, "left").select("seed", kind.alias("kind"), "a", F.coalesce("b", zero).alias("b"), F.coalesce("w", F.lit(0.0)).alias("w"))
+        state = cut(state.unionByName(got))
+        ran = cut(state.groupBy("seed").applyInPandas(grow, f"seed long, want long, {fields}"))
+        result = ran.where("want is null").select("seed", *names)
+        done = result if done is None else done.unionByName(result)
+        ask = ran.where("want is not null").select("seed", F.col("want").alias("a"))
+        if ask.isEmpty():
+            return done
+        state = state.join(ask.select("seed").distinct(), "seed", "left_semi")
 
 
 def hk_push(graph: Graph, seeds: dict[int, float], t: float = 15.0, eps: float = 1e-4, max_push: int | None = None, kdd: bool = False) -> tuple[dict[int, float], int]:

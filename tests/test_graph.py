@@ -90,7 +90,7 @@ def test_cis_covers(spark, edges):
     assert sets(cis.detect_cis(edges(KARATE))) == sorted(sorted(map(int, c.split("|"))) for c in KARATE_COVER)
 
 
-def test_cis_by_component_equals_cis_by_broadcast(edges, monkeypatch):
+def test_cis_by_request_equals_cis_by_broadcast(edges, monkeypatch):
     two = DEMO + "|100 101 1|101 102 2|102 100 1"
     whole = sets(cis.detect_cis(edges(two)))
     monkeypatch.setattr(seedwise, "BROADCAST_EDGES", 3)
@@ -106,6 +106,25 @@ def test_seed_sets_over_components_and_without_edges(spark, edges, monkeypatch):
     assert {(s, v) for s, v, *_ in whole} == {(1, 1), (1, 2), (1, 3), (1, 4), (2, 99)}
 
 
+@pytest.mark.parametrize("name", ["hk", "hk_budget", "ppr", "exponential", "cis", "cis_compat"])
+def test_seeds_that_fetch_their_neighbourhoods_see_what_a_broadcast_shows(spark, edges, monkeypatch, name):
+    e, far = edges(KARATE), 1 << 60  # ids that doubles can't hold
+    e = e.select((F.col("src") + far).alias("src"), (F.col("dst") + far).alias("dst"), "w")
+    seeds = spark.createDataFrame([(1, far + 1), (2, far + 34), (3, far + 12), (3, far + 25), (4, 7)], "seed long, v long")
+    sets_of = seeds.withColumnRenamed("v", "member")
+    run = {
+        "hk": lambda: seedwise.hk_vector_exact(e, seeds, 5.0, 1e-2),
+        "hk_budget": lambda: seedwise.hk_vector_exact(e, seeds, 5.0, 1e-2, max_push=60),
+        "ppr": lambda: seedwise.ppr_vector_exact(e, seeds),
+        "exponential": lambda: seedwise.exponential_columns(e, seeds),
+        "cis": lambda: cis.expand_seeds(e, sets_of),
+        "cis_compat": lambda: cis.expand_seeds(e, sets_of, 0.3, compat=True),
+    }[name]
+    whole = sorted(map(tuple, run().collect()))
+    monkeypatch.setattr(seedwise, "BROADCAST_EDGES", 1)
+    assert sorted(map(tuple, run().collect())) == whole and len({r[0] for r in whole}) == 4
+
+
 def test_cis_compat_with_containment_fold(edges):
     grown = {}
     for r in cis.expand_seeds(edges(DEMO), compat=True).collect():
