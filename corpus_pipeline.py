@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloam.llm import common, decontaminate, line_dedup, packing, queries, simhash, toxicity
+from graphloam.llm import common, decontaminate, line_dedup, packing, passage_dedup, queries, simhash, toxicity
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated runs of three lines are cut out; every document stays, n_chars follows its text."""
-    out = line_dedup.line_dedup(docs)
+    """Later occurrences of repeated runs of three lines, then of fifty words, are cut out; every document stays, n_chars follows its text."""
+    out = passage_dedup.passage_dedup(common.cut(line_dedup.line_dedup(docs)))
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

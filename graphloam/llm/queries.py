@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, line_dedup, lm_score, packing, quality, rules, simhash, toxicity
+from . import chat, decontaminate, language, line_dedup, lm_score, packing, passage_dedup, quality, rules, simhash, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.passage_dedup_report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_against_good(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -62,7 +66,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_line_dedup, op4_lm_score, op5_simhash, op6_toxicity, op7_rules, op8_packing, op9_chat, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_line_dedup, op3_passage_dedup, op4_lm_score, op5_simhash, op6_toxicity, op7_rules, op8_packing, op9_chat, op10_language)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": r"""

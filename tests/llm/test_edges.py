@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import pytest
-from graphloam.llm import chat, decontaminate, language, line_dedup, lm_score, packing, quality, queries, rules, simhash, toxicity
+from graphloam.llm import chat, decontaminate, language, line_dedup, lm_score, packing, passage_dedup, quality, queries, rules, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, pos long, fp string, score double, y int, key string, word string, __v string"
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa. " * 40_000
@@ -22,6 +22,7 @@ OPERATORS = {
     "contaminated": lambda d, lb, b: decontaminate.contaminated(d, b),
     "quality": lambda d, lb, b: quality.score_quality(d, lb),
     "line_dedup": lambda d, lb, b: line_dedup.line_dedup(d),
+    "passage_dedup": lambda d, lb, b: passage_dedup.passage_dedup(d),
     "lm_score": lambda d, lb, b: lm_score.score_against_good(d, lb, 8, 4),
     "simhash": lambda d, lb, b: simhash.simhash_groups(d),
     "near_dedup": lambda d, lb, b: simhash.drop_near_duplicates(d),
@@ -31,7 +32,7 @@ OPERATORS = {
     "packing": lambda d, lb, b: packing.pack(d, queries.tokenizer_path()),
     "language": lambda d, lb, b: language.identify(d),
 }
-SAME_ROWS = {"quality", "line_dedup", "lm_score", "simhash", "toxicity", "rules", "language"}
+SAME_ROWS = {"quality", "line_dedup", "passage_dedup", "lm_score", "simhash", "toxicity", "rules", "language"}
 
 
 @pytest.fixture(scope="module")

@@ -6,11 +6,12 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
 import xxhash
-from graphloam.llm import chat, decontaminate, line_dedup, lm_score, packing, queries, rules, simhash
+from graphloam.llm import chat, decontaminate, line_dedup, lm_score, packing, passage_dedup, queries, rules, simhash
 from graphloam.llm.common import mix
 from graphloam.llm.words import word_hash
 
@@ -116,6 +117,38 @@ def test_line_dedup_matches_brute_force(spark):
     assert got == brute_line_dedup(rows)
 
 
+def brute_passages(rows, n):
+    """The words that stay of each document."""
+    first, gone = {}, {}
+    for doc, text in sorted(rows):
+        w = WORDS.findall(text)
+        for k in range(len(w) - n + 1):
+            if first.setdefault(tuple(w[k : k + n]), (doc, k)) != (doc, k):
+                gone.setdefault(doc, set()).update(range(k, k + n))
+    return {doc: [x for k, x in enumerate(WORDS.findall(text)) if k not in gone.get(doc, ())] for doc, text in rows}
+
+
+@pytest.mark.parametrize("n", [2, 5, 6])
+def test_passage_dedup_matches_brute_force(spark, n):
+    rng = random.Random(n)
+    rows = [(k, "".join(rng.choice("abc") + rng.choice([" ", "\n", "  "]) for _ in range(rng.randrange(40)))) for k in range(60)]
+    got = {r.doc_id: WORDS.findall(r.text) for r in passage_dedup.passage_dedup(docs_of(spark, rows), n).collect()}
+    assert got == brute_passages(rows, n)
+
+
+def test_passages_of_fifty_words_go_whatever_lines_they_stand_in(spark):
+    p = [f"w{k}" for k in range(60)]
+    one, two = " ".join(p), " ".join(p[:30]) + "\n" + " ".join(p[30:])
+    rows = [(1, f"a b {one} c\nd"), (2, f"x\n{one}\ny"), (3, f"u {one} v"), (4, two), (5, f"q\n{two} r\ns"), (6, " ".join(p[:49])), (7, None)]
+    docs = docs_of(spark, rows)
+    report = {r.doc_id: r for r in passage_dedup.passage_dedup_report(docs).collect()}
+    got = {k: r.text for k, r in report.items()}
+    assert got == {1: rows[0][1], 2: "x\ny", 3: "u v", 4: "", 5: "q\nr\ns", 6: rows[5][1], 7: None}
+    assert all(r.n_removed == r.n_chars - len(r.text or "") for r in report.values())
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, SMALL).collect()}
+    assert out == got
+
+
 def test_decontamination_finds_reparameterised_questions(spark):
     item = "A farmer named Alice has 12 apples and sells 5 of them to Bob for 3 dollars before lunch."
     changed = "Some page said: a farmer named Carol has 40 apples and sells 7 of them to Dave for 9 euros before lunch. The end."
