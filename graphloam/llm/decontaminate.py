@@ -107,10 +107,19 @@ class Templates:
         return np.concatenate((h, g)), np.concatenate((at, twice)), np.arange(len(at) + len(twice)) >= len(at)
 
 
-def _window_rows(window: int, seen=None, with_size: bool = False):
+    def short(self, raw, own, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of ``size`` words, none as a slot, and where they begin; ``size`` is under the window's."""
+        n = max(len(raw) - size + 1, 0)
+        at = np.flatnonzero(own[:n] == own[len(raw) - n :])
+        with np.errstate(over="ignore"):
+            return mix(sum((raw[at + k] * self.place[k] for k in range(size)), np.full(len(at), size, np.uint64))), at
+
+
+def _window_rows(window: int, seen=None, with_size: bool = False, sizes=()):
     """(id, th, text) -> (id, th, pos, wh, slots[, size]): the windows, only those in the map ``seen`` if it is given.
 
-    slots: the raw hash of each slot's word, 0 for a literal."""
+    slots: the raw hash of each slot's word, 0 for a literal.  ``sizes``: also runs of so many plain words, of items
+    (``with_size``) only those that are the whole item."""
 
     def run(batches):
         made = Templates(window)
@@ -118,21 +127,27 @@ def _window_rows(window: int, seen=None, with_size: bool = False):
         for piece, texts in text_batches(batches):
             raw, kind, own, start = made.tokens(texts)
             h, at, plain = made.windows(raw, kind, own)
-            if bits is not None:
-                k = h >> np.uint64(64 - MAP_BITS)
-                hit = (bits[k >> np.uint64(3)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                h, at, plain = h[hit], at[hit], plain[hit]
-            if not len(at):
-                continue
             slot = np.where(kind == LITERAL, np.uint64(0), raw).view(np.int64)
-            here = at[:, None] + np.arange(window)
-            slots = np.where(plain[:, None] & (kind[here] == NAME), 0, slot[here])
-            of = own[at]
-            cols = [piece.column(0).take(pa.array(of)), piece.column(1).take(pa.array(of)), pa.array(at - start[of]), pa.array(h.view(np.int64))]
-            cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * window), pa.array(slots.ravel())))
-            if with_size:
-                cols.append(pa.array(np.diff(start)[of]))
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "pos", "wh", "slots", "size"][: len(cols)])
+            count = np.diff(start)
+            for size in (window, *sizes):
+                if size != window:
+                    h, at = made.short(raw, own, size)
+                    if with_size:
+                        h, at = h[count[own[at]] == size], at[count[own[at]] == size]
+                if bits is not None:
+                    k = h >> np.uint64(64 - MAP_BITS)
+                    hit = (bits[k >> np.uint64(3)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    h, at, plain = h[hit], at[hit], plain[hit] if size == window else plain
+                if not len(at):
+                    continue
+                here = at[:, None] + np.arange(size)
+                slots = np.where(plain[:, None] & (kind[here] == NAME), 0, slot[here]) if size == window else np.zeros(here.shape, np.int64)
+                of = own[at]
+                cols = [piece.column(0).take(pa.array(of)), piece.column(1).take(pa.array(of)), pa.array(at - start[of]), pa.array(h.view(np.int64))]
+                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * size), pa.array(slots.ravel())))
+                if with_size:
+                    cols.append(pa.array(count[of]))
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "pos", "wh", "slots", "size"][: len(cols)])
 
     return run
 
@@ -163,7 +178,8 @@ def match(size: int, found: list[tuple], window: int = WINDOW) -> tuple[float, i
     found: (document position, item position, document slots, item slots) of equal template windows.  Windows that lie
     on nearly one diagonal make an alignment.  In it an item's slot value must stand for one value of the document:
     windows that contradict the value that most windows give are left out.  coverage: the item's tokens that the other
-    windows cover, as a share; an alignment needs ``window`` literal tokens.
+    windows cover, as a share; an alignment needs ``window`` literal tokens.  A whole copy, with the item's own value in
+    every slot, needs none.
     """
     found = sorted(set(found), key=lambda m: (m[0] - m[1], m[0]))
     slack, best = max(2, size // 5), (0.0, 0, 0)
@@ -192,6 +208,14 @@ def match(size: int, found: list[tuple], window: int = WINDOW) -> tuple[float, i
             literal.update(m[1] + k for k, y in enumerate(m[3]) if not y)
         if good and len(literal) >= window:
             best = max(best, (len(cover) / size, -min(m[0] for m in good), max(m[0] for m in good) + window - 1))
+    if best[0] < 1:
+        same: dict[int, set] = defaultdict(set)
+        for d, i, mine, its in found:
+            if mine == its:
+                same[d - i].add(i)
+        for d in sorted(same):
+            if len(same[d]) == size - window + 1:
+                return 1.0, d, d + size - 1
     return best[0], -best[1], best[2]
 
 
@@ -200,7 +224,7 @@ def _verify(window: int, coverage: float):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                got, first, last = match(row["size"], [(m["dpos"], m["ipos"], tuple(m["dslots"]), tuple(m["islots"])) for m in row["found"]], window)
+                got, first, last = match(row["size"], [(m["dpos"], m["ipos"], tuple(m["dslots"]), tuple(m["islots"])) for m in row["found"]], min(window, row["size"]))
                 if got >= coverage:
                     out.append((row["id"], row["th"], row["item_id"], got, first, last))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
@@ -212,13 +236,14 @@ def _verify(window: int, coverage: float):
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float) -> DataFrame:
     items = benchmark.select(F.col("item_id").alias("id"), F.xxhash64("text").alias("th"), "text").distinct()
     kind = "id long, th long, pos long, wh long, slots array<long>"
-    mine = cut(items.mapInArrow(_window_rows(window, with_size=True), f"{kind}, size long").select(F.col("id").alias("item_id"), F.col("th").alias("ith"), F.col("pos").alias("ipos"), "wh", F.col("slots").alias("islots"), "size"))
+    mine = cut(items.mapInArrow(_window_rows(window, with_size=True, sizes=range(1, window)), f"{kind}, size long").select(F.col("id").alias("item_id"), F.col("th").alias("ith"), F.col("pos").alias("ipos"), "wh", F.col("slots").alias("islots"), "size"))
     seen = _map_of(mine)
-    theirs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_window_rows(window, seen), kind)
+    short = sorted(r["size"] for r in mine.where(F.col("size") < window).select("size").distinct().collect())  # window - 1 at most
+    theirs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_window_rows(window, seen, sizes=short), kind)
     both = theirs.join(small_side(mine), "wh")
     pair = F.struct(F.col("pos").alias("dpos"), "ipos", F.col("slots").alias("dslots"), "islots")
     grouped = both.groupBy(F.coalesce("id", F.lit(-(1 << 63))).alias("k"), F.col("id").isNull().alias("nul"), "th", "item_id", "ith", "size").agg(F.collect_set(pair).alias("found"))
-    likely = grouped.where(F.size(F.array_distinct(F.col("found.ipos"))) * window >= F.col("size") * coverage)
+    likely = grouped.where(F.size(F.array_distinct(F.col("found.ipos"))) * F.least(F.lit(window), "size") >= F.col("size") * coverage)
     named = likely.select(F.when(~F.col("nul"), F.col("k")).alias("id"), "th", "item_id", "size", "found")
     return named.mapInArrow(_verify(window, coverage), "id long, th long, item_id long, coverage double, first_word long, last_word long")
 
@@ -228,8 +253,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 
     A text is lower-cased, stripped of punctuation, and its numbers, names (capitalised inside a sentence) and units
     become typed placeholders (windows with names are also matched word by word).  Windows of ``window`` tokens are hash-joined; a pair is reported if windows with
-    consistent slots on one alignment cover at least ``coverage`` of the item's tokens.  Items of fewer than ``window``
-    tokens, null and empty texts hold no window and never match; a null doc_id or item_id is reported as null.  Identical
+    consistent slots on one alignment cover at least ``coverage`` of the item's tokens.  An alignment needs ``window`` tokens that are no
+    slots, or else be a whole copy with the item's own slot values.  Items of fewer than ``window`` tokens match copies of
+    all their words (so an item of one word matches every text with this word); null and empty texts never match; a null doc_id or item_id is reported as null.  Identical
     rows are reported once.  Other columns aren't read.  Empty tables give an empty result.
     """
     return _found(docs, benchmark, window, coverage).groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max("coverage").alias("coverage"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))

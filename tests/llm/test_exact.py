@@ -163,6 +163,16 @@ def test_decontamination_finds_reparameterised_questions(spark):
     assert kept.columns == ["doc_id", "text", "pos", "wh"]
 
 
+def test_decontamination_finds_copies_of_short_and_number_heavy_items(spark):
+    items = ["What is 17 times 24 plus 9?", "Compute 12 + 35 - 7", "3 + 4 = 7", "Name two primes"]
+    other = ["What is 18 times 25 plus 8?", "Compute 13 + 36 - 8", "3 + 4 = 8", "Name three primes"]
+    docs = docs_of(spark, [(k, f"Here it says: {t} And so on it goes.") for k, t in enumerate(items)] + [(10 + k, f"Here it says: {t} And so on it goes.") for k, t in enumerate(other)])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.coverage, r.first_word) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(k, k, 1.0, 3) for k in range(4)}
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {10, 11, 12, 13}
+
+
 def test_decontamination_matches_a_search_for_whole_items(spark):
     docs, items = read(spark, "documents", "/root/testdata/sf0.01").collect(), read(spark, "benchmark").collect()
     plain = lambda t: " ".join(WORDS.findall(t))
