@@ -26,12 +26,12 @@ LEXICONS = {
     "profanity": "damn crap bastard bitch asshole shit fuck fucking bullshit".split(),
     "threat": "kill murder die hang shoot destroy beat punch".split(),
 }
-#: Patterns of lower-cased texts, one voter each, behind a string that a text must hold.
+#: Patterns of lower-cased texts, one voter each, behind a string that a text must hold (none for runs of marks).
 PATTERNS = (
     ("you", re.compile(r"\byou(?:'re| are)\s+(?:an?|such|so|all|just)\b")),
     ("shut up", re.compile(r"\bshut up\b")),
     ("go to hell", re.compile(r"\bgo to hell\b")),
-    ("!!!", re.compile(r"[!?]{3,}")),
+    ("", re.compile(r"[!?]{3,}")),
 )
 
 

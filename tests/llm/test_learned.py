@@ -52,6 +52,11 @@ def test_words_without_letters_are_undetermined():
     assert np.allclose(np.linalg.norm(x[2:], axis=1), 1)
 
 
+def test_runs_of_marks_vote_whatever_marks_they_hold():
+    own, voter = toxicity.Votes([])(["what???", "no?!?", "so!?!", "hey!!!", "fine!!", "a! b? c!"])
+    assert list(own[voter == len(toxicity.LEXICONS) + len(toxicity.PATTERNS) - 1]) == [0, 1, 2, 3]
+
+
 def test_correlated_voters_share_their_evidence():
     rng = np.random.default_rng(0)
     y = (rng.random(4000) < 0.2).astype(float)
