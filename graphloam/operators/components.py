@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's ``spark.checkpoint.dir`` (a temporary folder only if unset) and go on from there."""
+    """Write ``df`` to the cluster's ``spark.checkpoint.dir`` and go on from there.
+
+    Without that setting a local session, which has no other machines, gets a temporary folder; on a cluster it is an
+    error.  Folders of checkpoints that nothing refers to any more are removed if the session was started with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 

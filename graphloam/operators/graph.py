@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .components import cut
+
 
 def symmetrize(edges: DataFrame, distinct: bool = True) -> DataFrame:
     """Both directions of every edge, self loops dropped; ``distinct``: each once, with the smallest of its weights."""
@@ -32,12 +34,15 @@ def encode_sorted(edges: DataFrame) -> DataFrame:
 
 
 def number(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` with idx from 0 in the order of ``key`` (distinct values)."""
-    parts = rows.repartitionByRange(key).withColumn("__p", F.spark_partition_id())
-    sizes = parts.groupBy("__p").count()
-    before = sizes.withColumn("__b", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1
-    return parts.join(F.broadcast(before.select("__p", "__b")), "__p").withColumn("idx", (local + F.col("__b")).cast("bigint")).drop("__p", "__b")
+    """``rows`` with idx from 0 in the order of ``key`` (distinct values).
+
+    Range partitions are sorted and written once with each row's place in its partition, so that sizes and places come
+    from the same partitions whatever is planned later; no single task sorts all rows."""
+    parts = cut(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = parts.groupBy(part.alias("__p")).count()  # a row for each partition
+    before = sizes.select("__p", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    return parts.join(F.broadcast(before), part == F.col("__p")).withColumn("idx", place + F.col("__b")).drop("__p", "__b", "__id")
 
 
 def encode_first(edges: DataFrame, pos: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from graphloam import functions, sources
 from graphloam.operators import cis, components, demon, diffusion, graph, merge, metrics, seedwise
@@ -255,6 +256,20 @@ def test_simple_edges_of_copies_at_one_position(spark):
     assert {tuple(r) for r in graph.undirected(e, "pos", last=True).collect()} == {(1, 2, 9.0), (2, 1, 9.0)}
 
 
+def test_numbers_are_whole_over_many_partitions(spark):
+    n = 420_000
+    e = spark.range(n).select((F.col("id") * 7919 % 1_000_003).alias("src"), ((F.col("id") * 104_729 + 5) % 1_000_033).alias("dst"), F.col("id").alias("pos"), F.lit(1.0).alias("w"))
+    src, dst = np.arange(n) * 7919 % 1_000_003, (np.arange(n) * 104_729 + 5) % 1_000_033
+    both, at = np.unique(np.stack([src, dst], 1).ravel(), return_index=True)
+    first = graph.encode_first(e, "pos").toArrow().to_pandas().sort_values("idx")
+    assert (first.idx.to_numpy() == np.arange(len(both))).all() and (first.name.to_numpy() == both[np.argsort(at)]).all()
+    ranked = graph.encode_sorted(e).toArrow().to_pandas().sort_values("idx")
+    assert (ranked.idx.to_numpy() == np.arange(len(both))).all() and (ranked.name.to_numpy() == both).all()
+    assert metrics.stride_by_degree(e, 20).count() == -(-len(np.unique(src)) // 20)
+    truth = spark.range(3_000_000).select((F.col("id") % 300_000).alias("truth_id"), F.col("id").alias("member"))
+    assert {r.truth_id for r in metrics.test_communities(truth, 9, 1000, 100).collect()} == set(range(0, 100_000, 1000))
+
+
 def test_parsers_take_malformed_lines(spark):
     lines = spark.createDataFrame([(x,) for x in ["# c", "", "  1\t2  3.5 ", "3 4", "5 6 x", "7", "a b 1", None]], "value string")
     assert sorted(map(tuple, sources.weighted_edges(lines).collect())) == [(1, 2, 3.5), (3, 4, 1.0)]
