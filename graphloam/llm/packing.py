@@ -19,7 +19,10 @@ CAPACITY = 2048
 END = 0
 #: Pieces that one island's solutions are about; the number of such groups follows the input.
 GROUP = 4096
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 6
+#: Each of a group's islands breeds so many generations in every epoch; elites migrate between epochs.
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 5, 8
+#: How far the orders in which first solutions place their pieces are from falling lengths.
+NOISE = 0.5
 #: Sequences filled less than this are opened again and their pieces packed anew with those of other groups.
 OPEN_BELOW = 0.97
 #: Words whose ids a worker keeps.
@@ -43,12 +46,19 @@ def _kinds() -> np.ndarray:
     return out
 
 
+@cache
+def _unassigned() -> np.ndarray:
+    """Code points without a category here, which the tokenizer's newer tables may take for letters or numerals."""
+    return np.fromiter((unicodedata.category(chr(k)) == "Cn" for k in range(0x110000)), bool, 0x110000)
+
+
 class Tokens:
     """Ids of whole texts, the same as the tokenizer's.
 
     Its splitting pattern (runs of letters, single numerals, runs of other marks, contractions; white space is dropped)
     is applied to arrays of code points; each distinct part is encoded once by the tokenizer and its ids are kept.  Texts
-    that the tokenizer would normalise in other ways, or that hold strings of its special tokens, are encoded whole.
+    that the tokenizer would normalise in other ways, that hold strings of its special tokens or code points which are
+    unassigned here, and those whose parts turn out not to be the tokenizer's, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -68,17 +78,23 @@ class Tokens:
         self.begin, self.size, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def plain(self, text: str) -> bool:
+        if text.isascii():
+            return not any(s in text for s in self.special)
+        if _unassigned()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+            return False
         return unicodedata.is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text and not any(s in text for s in self.special)
 
-    def learn(self, hashes: list[int], parts: list[str]) -> None:
-        """Keep the ids of new parts; many are encoded as one text, in which the ids that end a part show where each ends."""
+    def learn(self, hashes: list[int], parts: list[str]) -> bool:
+        """Keep the ids of new parts; many are encoded as one text, in which the ids that end a part show where each ends.
+
+        False, and nothing is kept, if the tokenizer splits them in another way."""
         size = np.cumsum([len(w) + 1 for w in parts])
         cuts = np.searchsorted(size, np.arange(0, size[-1] + BATCH, BATCH))
         joined = [" ".join(parts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
         ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(parts):
-            raise ValueError("the tokenizer splits words in another way")
+            return False
         total, n = len(ids), len(self.at)
         if self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros(len(self.flat) + total, np.uint32)))
@@ -91,6 +107,10 @@ class Tokens:
         self.size[n : n + len(parts)] = ends - first
         self.used += total
         self.at.update(zip(hashes, range(n, n + len(parts)), strict=True))
+        return True
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def parts(self, texts: list[str]):
         """(joined text, start, end, text of each part)."""
@@ -119,8 +139,8 @@ class Tokens:
         out: list = [None] * len(texts)
         plain = [self.plain(t) for t in texts]
         whole = [k for k, ok in enumerate(plain) if not ok]
-        for k, e in zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False) if whole else [], strict=True):
-            out[k] = np.array(e.ids, np.uint32)
+        for k, ids in zip(whole, self.whole([texts[k] for k in whole]), strict=True):
+            out[k] = ids
         rest = [k for k, ok in enumerate(plain) if ok]
         if not rest:
             return out
@@ -128,8 +148,10 @@ class Tokens:
         h, at, back = np.unique(Hasher(x)(start, end), return_index=True, return_inverse=True)
         keys = h.tolist()
         new = [k for k, v in enumerate(keys) if v not in self.at]
-        if new:
-            self.learn([keys[k] for k in new], [joined[start[at[k]] : end[at[k]]] for k in new])
+        if new and not self.learn([keys[k] for k in new], [joined[start[at[k]] : end[at[k]]] for k in new]):
+            for k, ids in zip(rest, self.whole([texts[k] for k in rest]), strict=True):
+                out[k] = ids
+            return out
         found = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))[back]
         size = self.size[found]
         ends = np.concatenate(([0], np.cumsum(size)))
@@ -234,24 +256,28 @@ class Packer:
         fill = np.bincount(child[held], self.lengths[held], len(used)).astype(np.int64).tolist()
         return self.best_fit(loose, child, fill)
 
-    def evolve(self, start: list[np.ndarray], population: int, generations: int) -> np.ndarray:
-        pool = [*start, self.fresh(0.0)]
-        best = max(pool, key=self.worth)
-        if -self.worth(best)[0] == self.least:  # no solution has fewer bins
-            return best
-        pool += [self.fresh(0.02 * (k + 1)) for k in range(population - len(pool))]
-        for _ in range(generations):
-            pool.sort(key=self.worth, reverse=True)
-            pool = pool[:population]
-            if -self.worth(pool[0])[0] == self.least:
-                break
-            a, b = self.rng.permutation(len(pool))[:2] if len(pool) > 1 else (0, 0)
-            pool += [self.cross(pool[0], pool[int(b)]), self.cross(pool[int(a)], pool[0])]
-        return max(pool, key=self.worth)
-
-
-def _evolve(capacity: int, population: int, generations: int, epoch: int):
-    """(grp, island, lengths[, elite, guest]) -> the same with the island's elite and its worth."""
+    def evolve(self, start: list[np.ndarray], population: int, generations: int, last: bool = False) -> tuple[np.ndarray, int, int]:
+        """(elite, its generation, bins of the best first solution) after ``generations`` of crossover.
+
+        The pool is ``start`` and randomised solutions; in the ``last`` epoch the best fit of falling lengths joins, so
+        that no group ends with more bins than that.  The generation is 0 for a solution that no crossover made."""
+        first = [*start, *(self.fresh(NOISE * (k + 1)) for k in range(max(population - len(start), 2)))]
+        pool = [(self.worth(x), 0, x) for x in first]
+        begun = -max(pool, key=lambda p: p[0])[0][0]
+        if last:
+            plain = self.fresh(0.0)
+            pool.append((self.worth(plain), 0, plain))
+        for g in range(1, generations + 1):
+            a, b = (max((pool[int(k)] for k in self.rng.integers(0, len(pool), 2)), key=lambda p: p[0])[2] for _ in range(2))
+            for child in (self.cross(a, b), self.cross(max(pool, key=lambda p: p[0])[2], b)):
+                pool.append((self.worth(child), g, child))
+            pool = sorted(pool, key=lambda p: (p[0], p[1]), reverse=True)[:population]
+        best = max(pool, key=lambda p: (p[0], p[1]))
+        return best[2], best[1], begun
+
+
+def _evolve(capacity: int, epoch: int):
+    """(grp, island, lengths[, elite, guest, born, guest_born]) -> the same with the island's elite, its bins and history."""
 
     def run(batches):
         for batch in batches:
@@ -260,55 +286,63 @@ def _evolve(capacity: int, population: int, generations: int, epoch: int):
                 seed = (row["grp"] * 7919 + row["island"] * 104729 + epoch) & 0x7FFFFFFF
                 packer = Packer(np.array(row["lengths"]), capacity, seed)
                 start = [np.array(x, np.int64) for x in (row.get("elite"), row.get("guest")) if x]
-                best = packer.evolve(start, population, generations)
-                out.append((row["grp"], row["island"], best, -packer.worth(best)[0]))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array([x.astype(np.int32) for x in cols[2]], pa.list_(pa.int32())), pa.array(cols[3], pa.int64())], names=["grp", "island", "elite", "bins"])
+                best, g, begun = packer.evolve(start, POPULATION, GENERATIONS, epoch == EPOCHS - 1)
+                if g:
+                    g += epoch * GENERATIONS
+                elif epoch:  # it came in as one of the two elites, or is the best fit
+                    same = [row[k] for k, x in zip(("born", "guest_born"), start, strict=True) if (x == best).all()]
+                    g = max(same, default=0)
+                out.append((row["grp"], row["island"], best, -packer.worth(best)[0], g, row.get("begun") or begun))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array([x.astype(np.int32) for x in cols[2]], pa.list_(pa.int32())), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int64())], names=["grp", "island", "elite", "bins", "born", "begun"])
 
     return run
 
 
 def _islands(items: DataFrame, capacity: int, group: int, salt: int) -> DataFrame:
-    """(key, length) -> (key, length, grp, bin) by the genetic algorithm, each group on ISLANDS islands."""
+    """(key, length) -> (key, length, grp, bin, born) by the genetic algorithm, each group on ISLANDS islands."""
     n = items.count()
     groups = max(1, -(-n // group))
     dealt = items.select("key", "length", F.pmod(F.xxhash64(F.lit(salt), "key"), F.lit(groups)).alias("grp"))
     packed = dealt.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("key", "length"))).alias("x"))
     packed = cut(packed.select("grp", F.col("x.key").alias("keys"), F.col("x.length").alias("lengths")))
-    kind = "grp long, island int, elite array<int>, bins long"
+    kind = "grp long, island int, elite array<int>, bins long, born int, begun long"
     isles = packed.select("grp", "lengths", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island")).repartition("grp", "island")
-    state = cut(isles.mapInArrow(_evolve(capacity, POPULATION, GENERATIONS, 0), kind))
+    state = cut(isles.mapInArrow(_evolve(capacity, 0), kind))
     for epoch in range(1, EPOCHS):  # each island's elite goes on to the next island of its group
-        guests = state.select("grp", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("elite").alias("guest"))
-        both = state.select("grp", "island", "elite").join(guests, ["grp", "island"]).join(packed.select("grp", "lengths"), "grp")
-        state = cut(both.select("grp", "island", "lengths", "elite", "guest").mapInArrow(_evolve(capacity, POPULATION, GENERATIONS, epoch), kind))
-    best = state.groupBy("grp").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"))
-    rows = packed.join(best, "grp").select("grp", F.explode(F.arrays_zip("keys", "lengths", "elite")).alias("r"))
-    return rows.select(F.col("r.keys").alias("key"), F.col("r.lengths").alias("length"), "grp", F.col("r.elite").alias("bin"))
+        guests = state.select("grp", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("elite").alias("guest"), F.col("born").alias("guest_born"))
+        both = state.join(guests, ["grp", "island"]).join(packed.select("grp", "lengths"), "grp")
+        state = cut(both.select("grp", "island", "lengths", "elite", "guest", "born", "guest_born", "begun").mapInArrow(_evolve(capacity, epoch), kind))
+    best = state.groupBy("grp").agg(F.min_by(F.struct("elite", "born"), F.struct("bins", "island")).alias("b"))
+    rows = packed.join(best, "grp").select("grp", "b.born", F.explode(F.arrays_zip("keys", "lengths", F.col("b.elite").alias("elite"))).alias("r"))
+    return rows.select(F.col("r.keys").alias("key"), F.col("r.lengths").alias("length"), "grp", F.col("r.elite").alias("bin"), "born")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, group: int = GROUP) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): the pieces of all texts, packed into sequences.
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, generation): the pieces of all texts in sequences.
 
     A text is its ids by the tokenizer at ``path`` (no special tokens), then the id ``end``; a null text counts as empty
     and is one id.  Texts of over ``capacity`` ids are cut, nothing else is.  Full pieces are sequences of their own.
-    The rest are dealt by hash into groups of about ``group`` pieces; in each, islands evolve solutions whose crossover
-    injects whole well-filled bins and best-fits displaced pieces, and elites migrate between the islands.  Bins that
-    are left open (under OPEN_BELOW) are dissolved and their pieces packed once more together, over all groups.
+    The rest are dealt by hash into groups of about ``group`` pieces; in each, islands start from randomised solutions
+    and breed GENERATIONS generations in each of EPOCHS epochs: crossover injects whole well-filled bins, removes what is
+    twice and best-fits displaced pieces, and between epochs elites migrate to the next island.  The best-fit solution
+    joins the last epoch, so a group never has more bins than that.  Bins that are left open (under OPEN_BELOW) are
+    dissolved and their pieces packed once more together, over all groups.  generation: the one whose crossover made the
+    solution that a piece's sequence is from, counted over epochs; 0 if none did, null for full pieces.
     Repeated rows and null doc_ids are packed like others.  An empty table gives an empty result.
     """
     own = cut(pieces(docs, path, capacity, end).withColumn("key", F.monotonically_increasing_id()))
-    full = own.where(F.col("length") == capacity).select("key", (F.col("key") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = own.where(F.col("length") == capacity).select("key", (F.col("key") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(None).cast("int").alias("generation"))
     items = own.where(F.col("length") < capacity).select("key", "length")
     first = cut(_islands(items, capacity, group, 1))
     fill = first.groupBy("grp", "bin").agg(F.sum("length").alias("fill"), F.min("key").alias("low"))
     open_bin = F.col("fill") < int(OPEN_BELOW * capacity)
-    named = cut(first.join(fill, ["grp", "bin"]).select("key", "length", open_bin.alias("open"), (F.col("low") * 4 + 1).alias("sequence_id")))
+    named = cut(first.join(fill, ["grp", "bin"]).select("key", "length", open_bin.alias("open"), (F.col("low") * 4 + 1).alias("sequence_id"), "born"))
     again = cut(_islands(named.where("open").select("key", "length"), capacity, group, 2))
     low = again.groupBy("grp", "bin").agg((F.min("key") * 4 + 2).alias("sequence_id"))
-    placed = named.where("not open").select("key", "length", "sequence_id").unionByName(again.join(low, ["grp", "bin"]).select("key", "length", "sequence_id"))
+    placed = named.where("not open").select("key", "length", "sequence_id", "born").unionByName(again.join(low, ["grp", "bin"]).select("key", "length", "sequence_id", "born"))
     # a sequence holds capacity pieces at most, so this collects bounded lists
-    laid = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("key", "length"))).alias("x"))
-    sums = F.transform("x", lambda v, i: F.struct(v.key.alias("key"), F.aggregate(F.slice("x", 1, i), F.lit(0).cast("long"), lambda s, w: s + w.length).alias("offset")))
-    laid = laid.select("sequence_id", F.explode(sums).alias("r")).select("r.key", "sequence_id", "r.offset")
-    return own.join(full.unionByName(laid), "key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    laid = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("key", "length", "born"))).alias("x"))
+    sums = F.transform("x", lambda v, i: F.struct(v.key.alias("key"), F.aggregate(F.slice("x", 1, i), F.lit(0).cast("long"), lambda s, w: s + w.length).alias("offset"), v.born.alias("generation")))
+    laid = laid.select("sequence_id", F.explode(sums).alias("r")).select("r.key", "sequence_id", "r.offset", "r.generation")
+    return own.join(full.unionByName(laid), "key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "generation")

@@ -202,6 +202,36 @@ def test_tokens_are_the_tokenizers(spark, tokenizer):
         assert [x.tolist() for x in got] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_tokens_of_every_code_point_are_the_tokenizers(tokenizer):
+    import unicodedata
+
+    t = packing.Tokens(queries.tokenizer_path())
+    known = [chr(k) for k in range(0x110000) if unicodedata.category(chr(k)) not in ("Cn", "Cs", "Co")]
+    assert not any(t.plain(chr(k)) for k in range(0x110000) if unicodedata.category(chr(k)) == "Cn")
+    odd = ["ab\U000105c0cd", "hello a\u1c89b world", "x \u1c8a\u1c8a!", "\ua7cb\ua7cb", "\ue000 a\ue000b"]
+    for form in ("{0}", "{0}{0}", "ab{0}cd", "1 {0}2"):
+        texts = odd + [form.format(c) for c in known]
+        for k in range(0, len(texts), 20_000):
+            part = texts[k : k + 20_000]
+            want = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            assert [x.tolist() for x in t.encode(part)] == want
+
+
+def test_texts_are_encoded_whole_when_parts_differ(tokenizer, monkeypatch):
+    t = packing.Tokens(queries.tokenizer_path())
+    t.last[:] = False  # as if no id ended a part
+    assert [x.tolist() for x in t.encode(["one two", "three"])] == [e.ids for e in tokenizer.encode_batch(["one two", "three"], add_special_tokens=False)]
+
+
+def test_sequences_come_out_of_crossover(spark):
+    got = queries.op8_packing(spark, "/root/testdata/sf0.01").toPandas()
+    parts = got[got.generation.notna()]
+    lengths = parts.length.to_numpy()
+    assert (parts.generation > 0).mean() > 0.9 and parts.generation.max() > packing.GENERATIONS  # also after migration
+    best_fit = packing.Packer(lengths, 2048, 0).fresh(0.0).max() + 1
+    assert parts.sequence_id.nunique() <= best_fit
+
+
 def test_packing_is_whole_and_tight(spark, tokenizer):
     extra = docs_of(spark, [(9001, None), (9002, ""), (9003, "a b"), (9003, "a b"), (None, "c"), (9004, "word " * 5000)])
     d = read(spark, "documents").select("doc_id", "text").unionByName(extra)
@@ -233,7 +263,10 @@ def test_crossover_keeps_every_piece_once():
         c = p.cross(a, b)
         assert c.min() == 0 and len(np.unique(c)) == c.max() + 1 and p.fills(c).max() <= 2048
         a, b = b, c
-    assert p.worth(p.evolve([b], 4, 6)) >= p.worth(p.fresh(0.0))
+    many = packing.Packer(rng.integers(300, 900, 3000), 2048, 1)
+    elite, born, begun = many.evolve([], 5, 12)
+    assert born > 0 and elite.max() + 1 < begun
+    assert p.worth(p.evolve([b], 4, 6, last=True)[0]) >= p.worth(p.fresh(0.0))
 
 
 def test_chat_round_trip(spark):
