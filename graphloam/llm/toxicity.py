@@ -14,9 +14,10 @@ from .words import Texts, word_hash
 
 #: At most so many labelled documents are learnt from.
 SAMPLE = 12_000
-#: Lexicon entries (words and word beginnings) that are induced from them, and how many of these vote on their own.
-ENTRIES, VOTERS = 600, 60
+#: Lexicon entries (words and word beginnings) that are induced from them at most; every one is a voter.
+ENTRIES = 600
 BEGINNINGS = (4, 5, 6)
+#: Documents of at least this score are taken as toxic.
 THRESHOLD = 0.3
 
 # Small lexicons, one voter each.
@@ -114,49 +115,112 @@ def _vote(entries):
     return run
 
 
+def together(a: np.ndarray, b: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """The chance that two events of chances ``a`` and ``b`` with the odds ratio ``odds`` both happen."""
+    s = 1 + (a + b) * (odds - 1)
+    root = np.sqrt(np.maximum(s * s - 4 * odds * (odds - 1) * a * b, 0))
+    apart = np.abs(odds - 1) > 1e-9
+    return np.where(apart, (s - root) / np.where(apart, 2 * (odds - 1), 1), a * b)
+
+
 class LabelModel:
-    """Binary voters that fire or don't, given a hidden class; the label that a row was given is one more voter.
+    """A generative model of binary voters that fire or don't, given a hidden class; the given label is one of them.
 
-    EM estimates how often each voter fires in either class (so its accuracy).  Correlations of what the voters do
-    beyond what the class explains are estimated from the residuals; a voter's evidence is divided by the correlated
-    votes that it stands among, so voters that say the same thing count about once.  The given label's accuracy is a
-    parameter; the voters together can lower its posterior but, being bounded by EVIDENCE, not overturn it.
+    EM starts at the given labels and estimates the share of class 1, how often each voter fires in either class (``fire``,
+    so its accuracy), and which voters are correlated beyond what the class explains.  Correlated pairs form a forest
+    (the strongest residual correlations, of STRONG at least): a voter's chance then depends on its parent's vote, by an
+    odds ratio that both classes share.  Votes that say the same thing thus count about once, and the given label, whose
+    accuracy is estimated like any other, is overturned where the voters outweigh it.
     """
 
-    EVIDENCE, LABEL = 3.0, 0.97
+    STRONG = 0.6
 
-    def __init__(self, votes: np.ndarray, y: np.ndarray, rounds: int = 20):
-        p = 0.9 * y + 0.05
-        n, m = votes.shape
-        self.share = np.ones(m)
+    def __init__(self, votes: np.ndarray, given: np.ndarray, rounds: int = 40):
+        v = np.concatenate([votes, given[:, None]], 1).astype(np.float32)
+        self.parent, self.odds = np.full(v.shape[1], -1), np.ones(v.shape[1])
+        p = 0.9 * given + 0.05
         for t in range(rounds):
-            self.prior = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
-            self.fire = np.stack([(votes.T @ (1 - p) + 0.1) / ((1 - p).sum() + 1), (votes.T @ p + 0.5) / (p.sum() + 1)])
-            self.fire = np.clip(self.fire, 1e-4, 1 - 1e-4)
-            if t % 5 == 4:
-                rest = votes - (1 - p)[:, None] * self.fire[0] - p[:, None] * self.fire[1]
-                rest /= np.sqrt((rest**2).mean(0)) + 1e-9
-                self.correlation = (rest.T @ rest) / n
-                strong = np.where(np.abs(self.correlation) > 0.15, np.abs(self.correlation), 0)
-                self.share = 1 / np.maximum(strong.sum(1), 1)
-            p = self.posterior(votes, y)
-
-    def posterior(self, votes: np.ndarray, y: np.ndarray) -> np.ndarray:
-        yes = np.log(self.fire[1] / self.fire[0]) * self.share
-        no = np.log((1 - self.fire[1]) / (1 - self.fire[0])) * self.share
-        evidence = np.clip(np.log(self.prior / (1 - self.prior)) + votes @ yes + (1 - votes) @ no, -self.EVIDENCE, self.EVIDENCE)
-        return sigmoid(evidence + (2 * y - 1) * np.log(self.LABEL / (1 - self.LABEL)))
-
-
-def learn(hits: list[list[int]], y: np.ndarray, width: int, n_entries: int) -> tuple[np.ndarray, float]:
+            self._fit(v, p, t % 5 == 4)
+            q = self._posterior(v)
+            still = np.abs(q - p).max() < 1e-4
+            p = q
+            if still and t > 5:
+                break
+
+    def _fit(self, v: np.ndarray, p: np.ndarray, correlate: bool) -> None:
+        n = len(v)
+        weight = np.stack([1 - p, p]).astype(np.float32)
+        total, fired = weight.sum(1).astype(float), (weight @ v).astype(float)
+        self.prior = (total[1] + 1) / (n + 2)
+        self.fire = np.clip((fired + np.array([[0.05], [0.2]])) / (total[:, None] + 1), 1e-4, 1 - 1e-4)
+        if correlate:
+            self._correlate(v, weight, total, fired)
+
+    def _correlate(self, v, weight, total, fired) -> None:
+        n, m = v.shape
+        both = np.stack([(v.T @ (w[:, None] * v)) for w in weight]).astype(float)
+        only, neither = fired[:, :, None] - both, total[:, None, None] - fired[:, :, None] - fired[:, None, :] + both
+        odds = ((both * neither / total[:, None, None].clip(1e-9)).sum(0) + 0.5) / ((only * only.transpose(0, 2, 1) / total[:, None, None].clip(1e-9)).sum(0) + 0.5)
+        gain = np.zeros((m, m))  # of log-likelihood, by a pair's odds ratio
+        for k in (0, 1):
+            a, b = self.fire[k][:, None], self.fire[k][None]
+            ab = together(a, b, odds)
+            for count, chance, alone in ((both[k], ab, a * b), (only[k], a - ab, a * (1 - b)), (only[k].T, b - ab, (1 - a) * b), (neither[k], 1 - a - b + ab, (1 - a) * (1 - b))):
+                gain += count * np.log(np.clip(chance, 1e-12, 1) / np.clip(alone, 1e-12, 1))
+        mean = (total[0] * self.fire[0] + total[1] * self.fire[1]) / n
+        cov = both.sum(0) - sum(fired[k][:, None] * self.fire[k][None] + self.fire[k][:, None] * fired[k][None] - total[k] * self.fire[k][:, None] * self.fire[k][None] for k in (0, 1))
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9 + 0 * mean))
+        self.correlation = cov / sd[:, None] / sd[None]
+        np.fill_diagonal(self.correlation, 0)
+        strong = np.where((self.correlation >= self.STRONG) & (gain > 3 * np.log(max(n, 2))), self.correlation, 0)
+        self.parent = np.full(m, -1)
+        best, via, left = np.zeros(m), np.full(m, -1), np.ones(m, bool)
+        for _ in range(m):  # a spanning forest of the strongest pairs
+            k = int(np.where(left, best, -1).argmax())
+            left[k] = False
+            self.parent[k] = via[k] if best[k] > 0 else -1
+            closer = left & (strong[k] > best)
+            best[closer], via[closer] = strong[k][closer], k
+        self.odds = np.where(self.parent >= 0, odds[np.arange(m), self.parent], 1.0)
+
+    @property
+    def pairs(self) -> list[tuple[int, int, float]]:
+        """(voter, the voter that it depends on, odds ratio)."""
+        return [(int(k), int(self.parent[k]), float(self.odds[k])) for k in np.flatnonzero(self.parent >= 0)]
+
+    @property
+    def accuracy(self) -> np.ndarray:
+        """How often each voter agrees with the hidden class; the given label's is the last."""
+        return self.prior * self.fire[1] + (1 - self.prior) * (1 - self.fire[0])
+
+    def _posterior(self, v: np.ndarray) -> np.ndarray:
+        child = np.flatnonzero(self.parent >= 0)
+        up = self.parent[child]
+        one, two, const = np.zeros(v.shape[1]), np.zeros(len(child)), np.log(self.prior / (1 - self.prior))
+        for sign, fire in ((-1, self.fire[0]), (1, self.fire[1])):
+            alone = np.where(self.parent >= 0, 0, np.log(fire / (1 - fire)))
+            const += sign * np.log(1 - fire[self.parent < 0]).sum()
+            ab = together(fire[child], fire[up], self.odds[child])
+            with_up = np.clip(ab / fire[up], 1e-5, 1 - 1e-5)
+            without = np.clip((fire[child] - ab) / (1 - fire[up]), 1e-5, 1 - 1e-5)
+            np.add.at(alone, child, np.log(without / (1 - without)))
+            np.add.at(alone, up, np.log((1 - with_up) / (1 - without)))
+            const += sign * np.log(1 - without).sum()
+            one += sign * alone
+            two += sign * (np.log(with_up / (1 - with_up)) - np.log(without / (1 - without)))
+        pair = v[:, child] * v[:, up]
+        return sigmoid(const + v @ one + pair @ two)
+
+    def posterior(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
+        return self._posterior(np.concatenate([votes, given[:, None]], 1).astype(np.float32))
+
+
+def learn(hits: list[list[int]], y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear classifier, learnt from the label model's posteriors."""
     x = np.zeros((len(hits), width), np.float32)
     for k, h in enumerate(hits):
         x[k, h] = 1
-    gain = np.abs(x[y > 0].mean(0) - x[y == 0].mean(0))
-    own = np.argsort(-gain[:n_entries], kind="stable")[:VOTERS]
-    votes = np.concatenate([x[:, own], x[:, n_entries:], x[:, :n_entries].any(1, keepdims=True), x[:, :n_entries].sum(1, keepdims=True) > 1], 1).astype(float)
-    posterior = LabelModel(votes, y).posterior(votes, y).astype(np.float32)
+    posterior = LabelModel(x, y).posterior(x, y).astype(np.float32)
 
     def grad(p, _, __):
         w = p.astype(np.float32)
@@ -180,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE):
     entries = [r.entry & ((1 << 64) - 1) for r in best.orderBy(F.desc("rank"), "entry").limit(ENTRIES).select("entry").collect()]
     votes = Votes(entries)
     got = sorted(rows.mapInArrow(_vote(entries), "doc_id long, y int, hits array<int>").collect(), key=lambda r: (r.doc_id, r.y))
-    weights, bias = learn([r.hits for r in got], np.array([float(r.y > 0) for r in got]), votes.width, votes.n)
+    weights, bias = learn([r.hits for r in got], np.array([float(r.y > 0) for r in got]), votes.width)
     return entries, weights, bias
 
 
@@ -204,9 +268,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text) against ``labels`` (doc_id, toxic).
 
     held_out: crc32(doc_id as text) mod ``folds`` is ``held`` (false for a null doc_id); labels of such rows are not
-    learnt from.  Of conflicting labels of a doc_id the larger counts, null labels don't.  Null texts count as empty.
-    Without toxic and other labels to learn from every score is 0.  predicted: 1 if the score is at least THRESHOLD.
-    Repeated rows come back as often as they went in.
+    learnt from.  Of conflicting labels of a doc_id the larger counts, null labels don't.  Null texts count as empty;
+    an empty text has no votes and is scored by the bias alone.  Texts are read whole, however long.  Without toxic and
+    other labels to learn from every score is 0.  predicted: 1 if the score is at least THRESHOLD.  Repeated rows come
+    back as often as they went in, an empty table gives none; columns beside doc_id and text are not read, whatever their
+    names.
     """
     out = remainder(F.col("doc_id"), folds) == held
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, ~out, sample))
