@@ -23,7 +23,7 @@ OPERATORS = {
     "quality": lambda d, lb, b: quality.score_quality(d, lb),
     "line_dedup": lambda d, lb, b: line_dedup.line_dedup(d),
     "passage_dedup": lambda d, lb, b: passage_dedup.passage_dedup(d),
-    "lm_score": lambda d, lb, b: lm_score.score_against_good(d, lb, 8, 4),
+    "lm_score": lambda d, lb, b: lm_score.score_against_good(d, lb, 8),
     "simhash": lambda d, lb, b: simhash.simhash_groups(d),
     "near_dedup": lambda d, lb, b: simhash.drop_near_duplicates(d),
     "toxicity": lambda d, lb, b: toxicity.score_toxicity(d, lb),

@@ -12,8 +12,6 @@ import numpy as np
 import pytest
 import xxhash
 from graphloam.llm import chat, decontaminate, line_dedup, lm_score, packing, passage_dedup, queries, rules, simhash
-from graphloam.llm.common import mix
-from graphloam.llm.words import word_hash
 
 SMALL = "/root/testdata/sf0.001"
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -315,63 +313,94 @@ def test_rule_counts_match_brute_force(spark):
         assert not (g.base_failed and g.kept)
 
 
-@pytest.mark.parametrize("held", [lm_score.HELD, 2, 0])
-def test_lm_score_matches_brute_force(spark, held):
-    rows = [(1, "the cat sat on a mat rat"), (2, "the dog sat on THE mat a rat"), (3, ""), (4, None), (5, "qq ww ee ww hat"), (2, "the dog sat on THE mat a rat"), (2, "another hat"), (None, "the cat hat bat")]
-    target, n_top, classes, least = [1, 5, 5, 77], 2, 3, 2
-    texts = [(r[0], (r[1] or "").lower().split()) for r in rows]
-    good = [t for t in texts if t[0] in target]
-    count = lambda part: Counter(w for _, ws in part for w in ws)
-    background, in_target = count(texts), count(good)
-    signed = lambda w: int(np.uint64(word_hash(w)).view(np.int64))
-    top = sorted(background, key=lambda w: (-background[w], signed(w)))[:n_top]
-    ending = lambda w: int(mix(np.array([word_hash(w[-3:])], np.uint64))[0] % np.uint64(classes))
-    group = lambda w: top.index(w) + 1 if w in top else 1 + n_top + ending(w)
-    size = 1 + n_top + classes
-
-    def class_loss(part):
-        n = np.zeros((size, size))
-        for _, ws in part:
-            line = [0, *map(group, ws), 0]
-            for a, b in zip(line, line[1:], strict=False):
-                n[a, b] += 1
-        one = (n.sum(0) + lm_score.ADD) / (n.sum() + lm_score.ADD * size)
-        two = (n + lm_score.ADD * one) / (n.sum(1, keepdims=True) + lm_score.ADD)
-        return -np.log2(lm_score.MIX * two + (1 - lm_score.MIX) * one)
-
-    def word_loss(counts, w):
-        if w in top:
-            return 0.0
-        mates = [x for x in background if x not in top and group(x) == group(w)]
-        often = [x for x in mates if background[x] >= least]
-        n = counts[w] if w in often else sum(counts[x] for x in mates if x not in often)
-        return -np.log2((n + lm_score.ADD) / (sum(counts[x] for x in mates) + lm_score.ADD * (len(often) + 1)))
-
-    of_target, of_all = class_loss(good), class_loss(texts)
-    want = []
-    for doc_id, ws in texts:
-        line = [0, *map(group, ws), 0]
-        bits = [of_target[a, b] - of_all[a, b] for a, b in zip(line, line[1:], strict=False)] + [word_loss(in_target, w) - word_loss(background, w) for w in ws]
-        want.append((str(doc_id), len(ws) + 1, sum(bits) / (len(ws) + 1)))
-    got = lm_score.cross_entropy_difference(docs_of(spark, rows), spark.createDataFrame([(t,) for t in [*target, None]], "doc_id long"), n_top, classes, least, held).collect()
+def brute_lm(rows, target, vocabulary, folds, fold_of, least):
+    """(doc_id, tokens, score) of each row, from counts in dictionaries."""
+    texts = [(i, (t or "").lower().split()) for i, t in rows]
+    words, pairs = Counter(), Counter()
+    mine = [(Counter(), Counter()) for _ in range(folds)]
+    for i, ws in texts:
+        line = [*ws, None]
+        for sums in [(words, pairs)] + ([mine[fold_of(i)]] if i in target else []):
+            sums[0].update(line)
+            sums[1].update(zip([None, *line], line, strict=False))
+    of_bin = lambda n: int(np.floor(np.log2(n) * 8))
+    size, bar = Counter(of_bin(n) for n in words.values() if n >= least), 512
+    total = 0
+    for b in sorted(size, reverse=True):
+        total += size[b]
+        if total > vocabulary:
+            break
+        bar = b
+    known = {w for w, n in words.items() if n >= least and of_bin(n) >= bar}
+    rare = {w for w, n in words.items() if n < least}
+
+    def of_target(kind, key, m):
+        return sum(x[kind][k] for f, x in enumerate(mine) if f != m for k in (rare if key == "rare" else [key]))
+
+    def bits(kind, key, m, add):
+        n = sum(words[k] for k in rare) if key == "rare" else (words, pairs)[kind][key]
+        share = sum(sum(x[0].values()) for f, x in enumerate(mine) if f != m) / sum(words.values())
+        return np.log2((n * share + add) / (of_target(kind, key, m) + add))
+
+    out = []
+    for i, ws in texts:
+        line, m, total = [*ws, None], fold_of(i) if i in target else None, 0.0
+        for h, w in zip([None, *line], line, strict=False):
+            if h in known and w in known and pairs[h, w] >= least:
+                total += bits(1, (h, w), m, lm_score.ADD) - bits(0, h, m, lm_score.ADD_FIRST)
+            else:
+                total += bits(0, "rare" if w in rare else w, m, lm_score.ADD)
+        out.append((str(i), len(line), total / len(line)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("vocabulary", "held"), [(1 << 19, 1 << 20), (1 << 19, 2), (1 << 19, 0), (5, 1 << 20), (5, 3), (0, 0)])
+def test_lm_score_matches_brute_force(spark, vocabulary, held):
+    rows = [(1, "the cat sat on a mat rat"), (2, "the dog sat on THE mat a rat"), (3, ""), (4, None), (5, "qq ww ee ww hat sat on the mat"), (2, "the dog sat on THE mat a rat"), (2, "another hat"), (None, "the cat hat bat sat on the rat"), (6, "on the mat the dog sat"), (7, "a rat on a mat")]
+    target = {1, 5, 6, 7, 77}
+    ids = spark.createDataFrame([(t,) for t in [*target, 5, None]], "doc_id long")
+    of = {r.doc_id: r.f for r in ids.selectExpr("doc_id", "pmod(xxhash64(29, doc_id), 2) f").collect()}
+    assert len({of[t] for t in target}) == 2
+    want = brute_lm(rows, target, vocabulary, 2, of.get, 2)
+    got = lm_score.cross_entropy_difference(docs_of(spark, rows), ids, vocabulary, held=held).collect()
     got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
-    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
-    assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], atol=1e-5)
-
-
-def test_lm_vocabulary_is_every_word_seen_often(spark):
-    rows = [(k, " ".join(f"w{j}x" for j in range(k, k + 40))) for k in range(400)]
-    flagged = spark.createDataFrame([(k % 2, t) for k, t in rows], "t int, text string")
-    counts = lm_score.word_counts(flagged, 7)
-    top = lm_score.most_frequent(counts, 10)
-    table, _ = lm_score.word_differences(counts, top, 7, 5)
-    seen = Counter(w for _, t in rows for w in t.split())
-    assert table.count() == sum(n >= 5 for n in seen.values()) - 10
-    (key, q), rest = lm_score._split(table, 100)
-    assert len(key) <= 100 and (np.diff(key.astype(float)) > 0).all() and len(key) + rest.count() == table.count()
-    docs = docs_of(spark, [*rows, *[(7, rows[7][1])] * 9000])
-    both = [sorted(map(tuple, lm_score.cross_entropy_difference(docs, docs.where("doc_id < 50"), 10, 7, 5, held).collect())) for held in (lm_score.HELD, 0)]
-    assert both[0] == both[1] and len(both[0]) == 9400
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert sorted(g[2] for g in got) == pytest.approx(sorted(w[2] for w in want), abs=1e-5)
+    assert {g[2] for g in map(tuple, lm_score.cross_entropy_difference(docs_of(spark, rows), ids.where("false"), vocabulary, held=held).select("doc_id", "n_tokens", "score").collect())} == {0.0}
+
+
+def test_lm_scores_do_not_depend_on_how_statistics_travel(spark):
+    rows = [(k, " ".join(f"w{j * j % 97}x" for j in range(k, k + 40 + k % 7))) for k in range(400)]
+    docs = docs_of(spark, [*rows, *[(7, rows[7][1])] * 3000]).repartition(7)
+    docs = docs.sortWithinPartitions("doc_id")
+    target = docs.where("doc_id < 50")
+    both = [sorted(map(tuple, lm_score.cross_entropy_difference(docs, target, 60, held=held, bucket_bytes=size).collect())) for held, size in ((lm_score.HELD, 1 << 20), (100, 1 << 20), (0, 2000))]
+    assert both[0] == both[1] == both[2] and len(both[0]) == 3400
+
+
+def test_lm_table_counts_every_word_and_pair(spark):
+    rows = [(k % 3, " ".join(f"w{j}x" for j in range(k, k + 40))) for k in range(300)]
+    table, bits = lm_score.table_of(spark.createDataFrame(rows, "m int, text string"), 2, 2, 4000)
+    got = {}
+    for r in table.collect():
+        keys, counts = lm_score.unpacked(bytes(r["keys"])), np.frombuffer(bytes(r["counts"]), "<i8").reshape(3, -1)
+        assert (np.diff(keys.astype(object)) > 0).all() and ((keys >> np.uint64(64 - bits)) == r["bucket"]).all()
+        got |= dict(zip(keys.tolist(), counts.T.tolist(), strict=True))
+    want = Counter()
+    for m, t in rows:
+        line = lm_score.Line([t])
+        for k in [*line.word.tolist(), *line.pair.tolist()]:
+            want[k, 0] += 1
+            want[k, m] += m > 0
+    assert got == {k: [n, want[k, 1], want[k, 2]] for (k, m), n in want.items() if m == 0 and n >= 2}
+    words = [r.total[0] for r in table.collect()]
+    assert sum(words) == sum(41 for _ in rows)
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(0)
+    for keys in (np.zeros(0, np.uint64), np.array([5], np.uint64), np.sort(rng.integers(0, 1 << 63, 1000, dtype=np.uint64)), np.sort(rng.integers(0, 1 << 40, 1000, dtype=np.uint64)), np.array([0, 0, (1 << 64) - 1], np.uint64)):
+        assert (lm_score.unpacked(lm_score.packed(keys)) == keys).all()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
