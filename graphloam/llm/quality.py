@@ -7,13 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import adam, label_rows, labelled_texts, mix, remainder, sigmoid, text_batches
+from .common import adam, cut, label_rows, labelled_texts, mix, remainder, sigmoid, text_batches
 from .words import DIGIT, LETTER, SPACE, SYMBOL, UPPER, Hasher, Texts
 
 #: Words of a passage.
 PASSAGE = 50
-#: At most so many labelled documents, and so many of a document's passages (evenly spread), are learnt from.
-SAMPLE, TRAIN_PASSAGES = 4000, 32
+#: At most so many labelled documents are learnt from, each with all its passages; no further one is taken once they
+#: have so many bytes of text.
+SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
 SHAPES, BAG = 64, 64
 COUNTS = 8
 DIM = COUNTS + 3 + SHAPES + BAG
@@ -95,8 +96,9 @@ class Attention:
 
     @classmethod
     def train(cls, x: np.ndarray, own: np.ndarray, y: np.ndarray, steps: int = 600, batch: int = 128) -> Attention:
-        mean, scale = x.mean(0), x.std(0) + 0.05
-        x = (x - mean) / scale
+        mean = x.mean(0, dtype=float)
+        square = sum(((x[k : k + 8192] - mean) ** 2).sum(0) for k in range(0, len(x), 8192))
+        scale = np.sqrt(square / len(x)) + 0.05
         first = np.searchsorted(own, np.arange(len(y)))
         size = np.diff(np.append(first, len(x)))
         rng = np.random.default_rng(3)
@@ -107,7 +109,7 @@ class Attention:
             docs = rng.integers(0, len(y), batch)
             rows = np.concatenate([np.arange(first[d], first[d] + size[d]) for d in docs])
             f = np.cumsum(size[docs]) - size[docs]
-            xb = x[rows]
+            xb = (x[rows] - mean) / scale
             h, t, g, a, z, s, n = cls.forward(q, xb, f)
             ds = (s - y[docs]) / len(docs)
             dz = np.repeat(ds[:, None] * q["c"], n, axis=0)
@@ -130,22 +132,37 @@ def _bags(batches):
         x, own = passages(texts)
         bags = []
         for k in range(len(texts)):
-            rows = x[np.searchsorted(own, k) : np.searchsorted(own, k, "right")]
-            rows = rows[np.unique(np.linspace(0, len(rows) - 1, TRAIN_PASSAGES).astype(int))]
-            bags.append(rows.astype(np.float16).tobytes())
+            bags.append(x[np.searchsorted(own, k) : np.searchsorted(own, k, "right")].astype(np.float16).tobytes())
         yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(bags, pa.binary())], names=["doc_id", "y", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE) -> Attention | None:
-    """Learn from at most ``sample`` labelled documents, chosen by a hash of doc_id among those that ``keep`` allows."""
-    got = labelled_texts(docs, label_rows(labels, "quality", keep), sample).mapInArrow(_bags, "doc_id long, y int, x binary").toArrow()
+def within(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` (doc_id, y, text), few enough to list, in the order of a hash until their texts have ``most`` bytes."""
+    listed = rows.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64(F.lit(17), "doc_id").alias("h")).collect()
+    size, kept = 0, []
+    for r in sorted(listed, key=lambda r: (r.h, r.doc_id)):
+        if size >= most:
+            break
+        kept.append((r.doc_id,))
+        size += r.n or 0
+    if len(kept) == len(listed):
+        return rows
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(kept, "doc_id long")), "doc_id", "left_semi")  # at most SAMPLE ids
+
+
+def train(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Attention | None:
+    """Learn from at most ``sample`` labelled documents, chosen by a hash of doc_id among those that ``keep`` allows.
+
+    Every passage of these documents is learnt from.  Passages are held in 16 bits; each step widens those of its batch."""
+    rows = within(cut(labelled_texts(docs, label_rows(labels, "quality", keep), sample).select("doc_id", "y", "text")), sample_bytes)
+    got = rows.mapInArrow(_bags, "doc_id long, y int, x binary").toArrow()
     if not got.num_rows:
         return None
     bags = [np.frombuffer(b, np.float16).reshape(-1, DIM) for b in got["x"].to_pylist()]
-    order = sorted(range(len(bags)), key=lambda k: (got["doc_id"][k].as_py(), bags[k].tobytes()))  # not in the order of arrival
+    order = sorted(range(len(bags)), key=lambda k: got["doc_id"][k].as_py())  # not in the order of arrival
     y = np.array([got["y"][k].as_py() for k in order], float) > 0
     own = np.repeat(np.arange(len(order)), [len(bags[k]) for k in order])
-    return Attention.train(np.concatenate([bags[k] for k in order]).astype(np.float64), own, y.astype(float))
+    return Attention.train(np.concatenate([bags[k] for k in order]), own, y.astype(float))
 
 
 def _score(model):
@@ -162,8 +179,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
 
     held_out: crc32(doc_id as text) mod ``folds`` is ``held`` (false for a null doc_id); labels of such rows are not
     learnt from.  Of conflicting labels of a doc_id the larger counts, null labels don't.  Null texts count as empty; an
-    empty text is scored as one empty passage.  All passages of a text are scored.  Without a label to learn from every
-    score is 0.5.  Repeated rows come back as often as they went in.
+    empty text is scored as one empty passage.  All passages of a text are scored, however long it is.  Without a label
+    to learn from every score is 0.5.  Repeated rows come back as often as they went in, an empty table gives none;
+    columns beside doc_id and text are not read, whatever their names.
     """
     out = remainder(F.col("doc_id"), folds) == held
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, ~out, sample))

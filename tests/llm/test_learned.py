@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 import pytest
-from graphloam.llm import language, queries, rules, toxicity
+from graphloam.llm import language, quality, queries, rules, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -22,6 +22,45 @@ def test_quality_on_held_out_rows(spark):
     assert (h[h.quality == 1].predicted == 1).mean() > 0.98
 
 
+def test_attention_is_the_formula():
+    rng = np.random.default_rng(1)
+    size = sum(int(np.prod(s)) for s in quality.Attention.SHAPE.values())
+    model = quality.Attention(rng.normal(0, 0.1, quality.DIM), rng.uniform(0.5, 2, quality.DIM), rng.normal(0, 0.3, size))
+    texts = ["", "one two three " * 60, "A b c! 12 " * 200, "x"]
+    x, own = quality.passages(texts)
+    got = model.score(x, own)
+    q = model.parts(model.p)
+    for k in range(len(texts)):
+        hs, es = [], []
+        for row in x[own == k]:
+            h = np.tanh(((row - model.mean) / model.scale) @ q["W"] + q["b"])
+            hs.append(h)
+            es.append(sum(w * np.tanh(h @ q["V"][:, j]) / (1 + np.exp(-h @ q["U"][:, j])) for j, w in enumerate(q["w"])))
+        a = np.exp(es) / np.exp(es).sum()
+        z = sum(a_ * h for a_, h in zip(a, hs, strict=True))
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-(z @ q["c"] + q["d"][0]))), abs=1e-6)
+    assert len(x[own == 1]) == -(-180 // quality.PASSAGE)
+
+
+def test_one_bad_passage_of_many_is_learnt_from(spark):
+    """Labels that rest on one passage of 60, anywhere in the text."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("lor", "ips", "dol", "sit", "ame") for b in ("em", "um", "or", "an", "et", "is")]
+    rows = []
+    for k in range(400):
+        parts = [" ".join(rng.choices(words, k=50)) for _ in range(60)]
+        if k % 2:
+            parts[rng.randrange(60)] = " ".join(rng.choices(["$$#", "@@@", "%%|", "7#7", "<<>"], k=50))
+        rows.append((k, " ".join(parts), 1 - k % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    h = [r for r in quality.score_quality(docs, labels).collect() if r.held_out]
+    assert len(h) > 90 and sum(r.predicted == 1 - r.doc_id % 2 for r in h) > 0.95 * len(h)
+    assert quality.within(docs.selectExpr("doc_id", "1 y", "text"), 10 * len(rows[0][1])).count() in (10, 11)
+
+
 def test_toxicity_on_held_out_rows(spark):
     m = joined(spark, "op6_toxicity")
     h = m[m.held_out & m.toxic.notna()]
