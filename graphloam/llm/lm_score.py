@@ -27,8 +27,8 @@ ADD, ADD_FIRST = 0.5, 1.0
 UNIT = 1 << 20
 #: Bytes of text whose words and pairs one bucket of the table is about.
 BUCKET_BYTES = 24 << 20
-#: Keys that a worker counts before it hands them on.
-COUNTED = 2_000_000
+#: Keys that a worker counts before it hands them on: about 200 MB while they are merged.
+COUNTED = 1_200_000
 #: Bits of the map of keys that can be in the shuffled part of the table: 16 MB, whatever the size of the corpus.
 MAP_BITS = 27
 #: The key of a text's end; keys of words are even, those of pairs odd.
@@ -89,6 +89,19 @@ def unpacked(data: bytes) -> np.ndarray:
         return np.cumsum(np.concatenate((np.frombuffer(data[1:9], np.uint64), gap.view(np.uint64).ravel())), dtype=np.uint64)
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """Rows of counts as bytes, each row in as few bytes a count as its largest one needs."""
+    width = [next(w for w in (1, 2, 4, 8) if not len(row) or int(row.max()) < 1 << (8 * w - 1)) for row in counts]
+    return bytes(width) + b"".join(row.astype(f"<i{w}").tobytes() for w, row in zip(width, counts, strict=True))
+
+
+def widened(data: bytes, rows: int) -> np.ndarray:
+    width = data[:rows]
+    n = (len(data) - rows) // sum(width)
+    at = rows + n * np.concatenate(([0], np.cumsum(list(width))))
+    return np.stack([np.frombuffer(data, f"<i{w}", n, a).astype(np.int64) for w, a in zip(width, at.tolist(), strict=False)])
+
+
 def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, a, b) of the ascending keys whose first ``bits`` bits are the bucket's number."""
     of = (keys >> np.uint64(64 - bits)).astype(np.int64)
@@ -101,7 +114,7 @@ def _count(bits: int, folds: int):
 
     def rows(part):
         keys, counts = part
-        found = [(b, packed(keys[i:j]), counts[:, i:j].astype("<i4").tobytes()) for b, i, j in _by_bucket(keys, bits)]
+        found = [(b, packed(keys[i:j]), narrow(counts[:, i:j])) for b, i, j in _by_bucket(keys, bits)]
         cols = list(zip(*found, strict=True)) if found else [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "keys", "counts"])
 
@@ -118,7 +131,8 @@ def _count(bits: int, folds: int):
             for m in range(1, folds + 1):
                 counts[m] = np.add.reduceat((fold == m).astype(np.int32), at)
             held.append((keys[order[at]], counts))
-            if sum(len(k) for k, _ in held) > 2 * COUNTED:
+            del line, keys, fold, order, at, counts
+            if sum(len(k) for k, _ in held) > 1.25 * COUNTED:
                 held = [_merged(held)]
                 if len(held[0][0]) > COUNTED:
                     yield rows(held.pop())
@@ -151,11 +165,11 @@ def _add_up(folds: int, least: int):
 
     def run(batches):
         for rows in _runs(batches, 0):
-            keys, counts = _merged([(unpacked(r["keys"]), np.frombuffer(r["counts"], "<i4").reshape(1 + folds, -1).astype(np.int64)) for r in rows])
+            keys, counts = _merged([(unpacked(r["keys"]), widened(r["counts"], 1 + folds)) for r in rows])
             word, often = keys & np.uint64(1) == 0, counts[0] >= least
             total, rare = counts[:, word].sum(1), counts[:, word & ~often].sum(1)
             kind = np.where(word, 0, BINS)[often] + _bin(counts[0, often])
-            found = [rows[0]["bucket"], packed(keys[often]), counts[:, often].astype("<i8").tobytes(), total.tolist(), rare.tolist(), np.bincount(kind, minlength=2 * BINS).tolist()]
+            found = [rows[0]["bucket"], packed(keys[often]), narrow(counts[:, often]), total.tolist(), rare.tolist(), np.bincount(kind, minlength=2 * BINS).tolist()]
             kinds = [pa.int32(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 3]
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(found, kinds, strict=True)], names=["bucket", "keys", "counts", "total", "rare", "bins"])
 
@@ -171,7 +185,7 @@ def table_of(flagged: DataFrame, folds: int = FOLDS, least: int = LEAST, bucket_
     size = flagged.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(3, int(np.ceil(np.log2(max(size / bucket_bytes, 1))))), MAP_BITS - 5)
     counted = flagged.mapInArrow(_count(bits, folds), "bucket int, keys binary, counts binary")
-    summed = counted.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(_add_up(folds, least), "bucket int, keys binary, counts binary, total array<long>, rare array<long>, bins array<long>")
+    summed = counted.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_add_up(folds, least), "bucket int, keys binary, counts binary, total array<long>, rare array<long>, bins array<long>")
     return cut(summed), bits
 
 
@@ -193,8 +207,8 @@ def _frequent(folds: int, total: np.ndarray, bar: tuple[int, int], bits: int, sp
 
     def run(batches):
         for rows in _runs(batches, 0):
-            for r in rows:
-                keys, counts = unpacked(r["keys"]), np.frombuffer(r["counts"], "<i8").reshape(1 + folds, -1)
+            for r in rows:  # one: a bucket's row
+                keys, counts = unpacked(r["keys"]), widened(r["counts"], 1 + folds)
                 word = keys & np.uint64(1) == 0
                 held = _bin(np.maximum(counts[0], 1)) >= np.where(word, *bar)
                 w, p = word & held, ~word & held
@@ -308,7 +322,7 @@ def _meet(folds: int, total: np.ndarray):
             out = []
             for bucket, kind, number, keys, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == TABLE:
-                    here, known, q = bucket, unpacked(keys), differences(np.frombuffer(data, "<i8").reshape(1 + folds, -1), total, ADD)
+                    here, known, q = bucket, unpacked(keys), differences(widened(data, 1 + folds), total, ADD)
                 elif kind == TEXTS:
                     out.append((kind, number, keys, data))
                 else:
@@ -373,7 +387,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int
         return flagged.mapInArrow(_score(sent), "doc_id long, n_tokens long, score double")
     asked = flagged.mapInArrow(_score(sent), "bucket int, kind int, batch long, keys binary, data binary")
     known = table.select("bucket", F.lit(TABLE).alias("kind"), F.lit(-1).cast("long").alias("batch"), "keys", F.col("counts").alias("data"))
-    met = asked.unionByName(known).repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "kind")
+    met = asked.unionByName(known).repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket", "kind")
     sums = met.mapInArrow(_meet(folds, model.total), "kind int, batch long, keys binary, data binary")
     return sums.repartition("batch").sortWithinPartitions("batch").mapInArrow(_finish, "doc_id long, n_tokens long, score double")
 

@@ -51,7 +51,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         with np.errstate(over="ignore"):
             for k, b in ((0, BASE), (1, BACK)):
-                x = np.full(2 * n, b, np.uint64)
+                x = np.full(n + n // 8, b, np.uint64)
                 x[0] = 1
                 _powers[k] = np.cumprod(x, dtype=np.uint64)
     return _powers[0], _powers[1]

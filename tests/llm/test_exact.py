@@ -374,16 +374,16 @@ def test_lm_scores_do_not_depend_on_how_statistics_travel(spark):
     docs = docs_of(spark, [*rows, *[(7, rows[7][1])] * 3000]).repartition(7)
     docs = docs.sortWithinPartitions("doc_id")
     target = docs.where("doc_id < 50")
-    both = [sorted(map(tuple, lm_score.cross_entropy_difference(docs, target, 60, held=held, bucket_bytes=size).collect())) for held, size in ((lm_score.HELD, 1 << 20), (100, 1 << 20), (0, 2000))]
+    both = [sorted(map(tuple, lm_score.cross_entropy_difference(docs, target, 60, held=held, bucket_bytes=size).collect())) for held, size in ((lm_score.HELD, 1 << 20), (100, 1 << 20), (0, 40_000))]
     assert both[0] == both[1] == both[2] and len(both[0]) == 3400
 
 
 def test_lm_table_counts_every_word_and_pair(spark):
     rows = [(k % 3, " ".join(f"w{j}x" for j in range(k, k + 40))) for k in range(300)]
-    table, bits = lm_score.table_of(spark.createDataFrame(rows, "m int, text string"), 2, 2, 4000)
+    table, bits = lm_score.table_of(spark.createDataFrame(rows, "m int, text string"), 2, 2, 9000)
     got = {}
     for r in table.collect():
-        keys, counts = lm_score.unpacked(bytes(r["keys"])), np.frombuffer(bytes(r["counts"]), "<i8").reshape(3, -1)
+        keys, counts = lm_score.unpacked(bytes(r["keys"])), lm_score.widened(bytes(r["counts"]), 3)
         assert (np.diff(keys.astype(object)) > 0).all() and ((keys >> np.uint64(64 - bits)) == r["bucket"]).all()
         got |= dict(zip(keys.tolist(), counts.T.tolist(), strict=True))
     want = Counter()
@@ -401,6 +401,8 @@ def test_packed_keys_come_back():
     rng = np.random.default_rng(0)
     for keys in (np.zeros(0, np.uint64), np.array([5], np.uint64), np.sort(rng.integers(0, 1 << 63, 1000, dtype=np.uint64)), np.sort(rng.integers(0, 1 << 40, 1000, dtype=np.uint64)), np.array([0, 0, (1 << 64) - 1], np.uint64)):
         assert (lm_score.unpacked(lm_score.packed(keys)) == keys).all()
+    for counts in (np.zeros((3, 0), int), np.array([[1, 2], [300, 0], [1 << 40, 5]])):
+        assert (lm_score.widened(lm_score.narrow(counts), 3) == counts).all()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
