@@ -18,6 +18,10 @@ COVERAGE = 0.8
 MAP_BITS = 26
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
+#: What stands as a word in a window: literals; literals and names; everything.
+FEW, NAMES, ALL = range(3)
+#: Document tokens of a block in which an item is aligned, for items of up to half as many tokens.
+BLOCK = 1024
 # Spelled numbers and common units of measure.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 UNITS = frozenset("mm cm m km in ft yd mi mile miles meter meters metre metres inch inches foot feet yard yards g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces l ml liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kmh kph hz khz mhz ghz watt watts volt volts joule joules".split())
@@ -90,21 +94,23 @@ class Templates:
             return mix(sum((code[k : k + n] * self.place[k] for k in range(self.window)), np.zeros(n, np.uint64)))
 
     def windows(self, raw, kind, own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of all windows, where they begin, and of each whether its names were taken as plain words.
+        """Hashes of all windows, where they begin, and of each what stands as a word in it: FEW, NAMES or ALL.
 
         A window with a name is given twice, with the name as a slot and as a word, so that it also meets texts in which
-        capitals say nothing."""
+        capitals say nothing.  A window without a literal is one of plain words: slots alone are no evidence, and would
+        be the same in every table of numbers."""
         n = len(raw) - self.window + 1
         if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8)
         at = np.flatnonzero(own[:n] == own[self.window - 1 :])
-        h = self._hashes(np.where(kind == LITERAL, raw, self.typed[kind]))[at]
-        names = np.concatenate(([0], np.cumsum(kind == NAME)))
-        twice = at[names[at + self.window] > names[at]]
-        if not len(twice):
-            return h, at, np.zeros(len(at), bool)
-        g = self._hashes(np.where((kind == LITERAL) | (kind == NAME), raw, self.typed[kind]))[twice]
-        return np.concatenate((h, g)), np.concatenate((at, twice)), np.arange(len(at) + len(twice)) >= len(at)
+        among = lambda mask: (c := np.concatenate(([0], np.cumsum(mask))))[at + self.window] - c[at]
+        literals, names = among(kind == LITERAL), among(kind == NAME)
+        parts = []
+        for plain, here in ((FEW, at[literals > 0]), (NAMES, at[(names > 0) & (literals + names > 0)]), (ALL, at[literals + names == 0])):
+            if len(here):
+                word = (kind == LITERAL) | ((kind == NAME) & (plain != FEW)) | (plain == ALL)
+                parts.append((self._hashes(np.where(word, raw, self.typed[kind]))[here], here, np.full(len(here), plain, np.int8)))
+        return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else (np.zeros(0, np.uint64), at[:0], np.zeros(0, np.int8))
 
 
     def short(self, raw, own, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +147,7 @@ def _window_rows(window: int, seen=None, with_size: bool = False, sizes=()):
                 if not len(at):
                     continue
                 here = at[:, None] + np.arange(size)
-                slots = np.where(plain[:, None] & (kind[here] == NAME), 0, slot[here]) if size == window else np.zeros(here.shape, np.int64)
+                slots = np.where((plain[:, None] == ALL) | ((plain[:, None] == NAMES) & (kind[here] == NAME)), 0, slot[here]) if size == window else np.zeros(here.shape, np.int64)
                 of = own[at]
                 cols = [piece.column(0).take(pa.array(of)), piece.column(1).take(pa.array(of)), pa.array(at - start[of]), pa.array(h.view(np.int64))]
                 cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * size), pa.array(slots.ravel())))
@@ -176,8 +182,8 @@ def match(size: int, found: list[tuple], window: int = WINDOW) -> tuple[float, i
     """Best (coverage, first, last document token) among alignments of an item of ``size`` tokens.
 
     found: (document position, item position, document slots, item slots) of equal template windows.  Windows that lie
-    on nearly one diagonal make an alignment.  In it an item's slot value must stand for one value of the document:
-    windows that contradict the value that most windows give are left out.  coverage: the item's tokens that the other
+    on nearly one diagonal make an alignment.  In it an item's slot value must stand for one value of the document, and a
+    document's value for one of the item's: windows that contradict what most windows say are left out.  coverage: the item's tokens that the other
     windows cover, as a share; an alignment needs ``window`` literal tokens.  A whole copy, with the item's own value in
     every slot, needs none.
     """
@@ -196,12 +202,14 @@ def match(size: int, found: list[tuple], window: int = WINDOW) -> tuple[float, i
         if len({m[1] for m in part}) * window < best[0] * size:
             continue
         votes: dict[int, Counter] = defaultdict(Counter)
+        back: dict[int, Counter] = defaultdict(Counter)
         for _, _, mine, its in part:
             for x, y in zip(mine, its, strict=True):
                 if y:
                     votes[y][x] += 1
-        says = {y: min(c, key=lambda x: (-c[x], x)) for y, c in votes.items()}
-        good = [m for m in part if all(not y or says[y] == x for x, y in zip(m[2], m[3], strict=True))]
+                    back[x][y] += 1
+        says, said = ({y: min(c, key=lambda x: (-c[x], x)) for y, c in v.items()} for v in (votes, back))
+        good = [m for m in part if all(not y or (says[y] == x and said[x] == y) for x, y in zip(m[2], m[3], strict=True))]
         cover, literal = set(), set()
         for m in good:
             cover.update(range(m[1], m[1] + window))
@@ -242,7 +250,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float)
     theirs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_window_rows(window, seen, sizes=short), kind)
     both = theirs.join(small_side(mine), "wh")
     pair = F.struct(F.col("pos").alias("dpos"), "ipos", F.col("slots").alias("dslots"), "islots")
-    grouped = both.groupBy(F.coalesce("id", F.lit(-(1 << 63))).alias("k"), F.col("id").isNull().alias("nul"), "th", "item_id", "ith", "size").agg(F.collect_set(pair).alias("found"))
+    # an alignment, of size + slack tokens at most, lies whole in one of the blocks, which overlap by half
+    half = F.greatest(F.lit(BLOCK), 2 * F.col("size"))
+    both = both.withColumn("block", F.explode(F.filter(F.array(F.floor(F.col("pos") / half), F.floor(F.col("pos") / half) - 1), lambda b: b >= 0)))
+    grouped = both.groupBy(F.coalesce("id", F.lit(-(1 << 63))).alias("k"), F.col("id").isNull().alias("nul"), "th", "item_id", "ith", "size", "block").agg(F.collect_set(pair).alias("found"))
     likely = grouped.where(F.size(F.array_distinct(F.col("found.ipos"))) * F.least(F.lit(window), "size") >= F.col("size") * coverage)
     named = likely.select(F.when(~F.col("nul"), F.col("k")).alias("id"), "th", "item_id", "size", "found")
     return named.mapInArrow(_verify(window, coverage), "id long, th long, item_id long, coverage double, first_word long, last_word long")
@@ -252,13 +263,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     """(doc_id, item_id, coverage, first_word, last_word): the benchmark items that documents hold, also re-parameterised.
 
     A text is lower-cased, stripped of punctuation, and its numbers, names (capitalised inside a sentence) and units
-    become typed placeholders (windows with names are also matched word by word).  Windows of ``window`` tokens are hash-joined; a pair is reported if windows with
-    consistent slots on one alignment cover at least ``coverage`` of the item's tokens.  An alignment needs ``window`` tokens that are no
-    slots, or else be a whole copy with the item's own slot values.  Items of fewer than ``window`` tokens match copies of
-    all their words (so an item of one word matches every text with this word); null and empty texts never match; a null doc_id or item_id is reported as null.  Identical
-    rows are reported once.  Other columns aren't read.  Empty tables give an empty result.
+    become typed placeholders (windows with names are also matched word by word, windows of slots alone only so).
+    Windows of ``window`` tokens are hash-joined; a pair is reported if windows with consistent slots on one alignment
+    cover at least ``coverage`` of the item's tokens.  An alignment needs ``window`` tokens that are no slots, or else be
+    a whole copy with the item's own slot values.  Items of fewer than ``window`` tokens match copies of all their words
+    (so an item of one word matches every text with this word); null and empty texts never match; a null doc_id or
+    item_id is reported as null.  Identical rows are reported once, of a document's alignments with an item the first one
+    of the highest coverage.  Other columns aren't read.  Empty tables give an empty result.  Long documents are aligned
+    in blocks of tokens.
     """
-    return _found(docs, benchmark, window, coverage).groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max("coverage").alias("coverage"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
+    best = F.max(F.struct("coverage", (-F.col("first_word")).alias("f"), F.col("last_word").alias("l"))).alias("b")
+    return _found(docs, benchmark, window, coverage).groupBy(F.col("id").alias("doc_id"), "item_id").agg(best).select("doc_id", "item_id", "b.coverage", (-F.col("b.f")).alias("first_word"), F.col("b.l").alias("last_word"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:

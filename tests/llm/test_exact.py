@@ -171,6 +171,101 @@ def test_decontamination_finds_copies_of_short_and_number_heavy_items(spark):
     assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {10, 11, 12, 13}
 
 
+def brute_contaminated(docs, items, window=decontaminate.WINDOW, coverage=decontaminate.COVERAGE):
+    """Templates and slots token by token: an item is found where windows with one-to-one slot values cover it."""
+    edge = decontaminate.EDGE + " \t\n"
+
+    def tokens(text):
+        out, fresh = [], True
+        for m in re.finditer(r"\S+", text):
+            raw = m.group().strip(edge)
+            end = re.sub(r"[%s]+$" % re.escape(decontaminate.CLOSERS), "", m.group())
+            if "\n" in text[: m.start()][len(text[: m.start()].rstrip()) :]:
+                fresh = True
+            if raw:
+                low = raw.lower()
+                if re.fullmatch(r"[-+$€£.,:/%\d]*\d[-+$€£.,:/%\d]*(?:[^\W\d_]{1,4})?", low) or low in decontaminate.NUMBER_WORDS:
+                    kind = "number"
+                elif low in decontaminate.UNITS:
+                    kind = "unit"
+                else:
+                    kind = "name" if raw.isalpha() and raw[0].isupper() and not fresh else None
+                out.append((low, kind))
+            fresh = end[-1:] in decontaminate.STOPS and bool(end)
+        return out
+
+    def windows(ts, k):
+        part = ts[k : k + window]
+        yield tuple((kind or low, 0 if kind is None else low) for low, kind in part)
+        yield tuple((low, 0) if kind in (None, "name") else (kind, low) for low, kind in part)
+
+    found = set()
+    for i, item in items:
+        its = tokens(item or "")
+        if len(its) < window:
+            continue
+        for d, text in docs:
+            mine = tokens(text or "")
+            pairs = []
+            for a in range(len(mine) - window + 1):
+                for b in range(len(its) - window + 1):
+                    for x, y in zip(windows(mine, a), windows(its, b), strict=True):
+                        if [p[0] for p in x] == [p[0] for p in y] and any(p[1] == 0 for p in y):
+                            pairs.append((a, b, [p[1] for p in x], [p[1] for p in y]))
+            slack = max(2, len(its) // 5)
+            for low in {a - b for a, b, _, _ in pairs}:
+                part = [p for p in pairs if low <= p[0] - p[1] <= low + slack]
+                says, said = {}, {}
+                for _, _, x, y in part:
+                    for p, q in zip(x, y, strict=True):
+                        if q:
+                            says.setdefault(q, Counter())[p] += 1
+                            said.setdefault(p, Counter())[q] += 1
+                ok = [p for p in part if all(not q or (says[q].most_common(1)[0][0] == v and said[v].most_common(1)[0][0] == q) for v, q in zip(p[2], p[3], strict=True))]
+                cover = {p[1] + k for p in ok for k in range(window)}
+                literal = {p[1] + k for p in ok for k in range(window) if not p[3][k]}
+                if len(literal) >= window and len(cover) >= coverage * len(its):
+                    found.add((d, i))
+    return found
+
+
+def test_decontamination_matches_brute_force_on_templates(spark):
+    rng = random.Random(6)
+    names = ["Alice", "Bob", "Carol", "Dave", "Erin", "Frank"]
+    plot = ["The baker {n} made {a} rolls and gave {b} of them to {m} who ate {c} kg before noon .", "A train with {a} seats leaves {n} and carries {b} people to {m} while {c} miles remain to go .", "If {n} pays {a} dollars and {m} pays {b} dollars for {c} boxes then each box costs how much ?"]
+    fill = "some other words that come before and after it in a longer page of text".split()
+
+    def told(p, same=None):
+        n, m = rng.sample(names, 2)
+        a, b, c = (same,) * 3 if same else rng.sample(range(2, 99), 3)
+        return p.format(n=n, m=m, a=a, b=b, c=c)
+
+    items = [(k, told(p)) for k, p in enumerate(plot)]
+    docs = []
+    for d in range(60):
+        p = told(rng.choice(plot), rng.choice([None, None, 7]))
+        words = p.split()
+        for _ in range(rng.randrange(0, 5)):
+            words[rng.randrange(len(words))] = rng.choice([*fill, "12", "Bob"])
+        docs.append((d, " ".join(rng.choices(fill, k=rng.randrange(0, 30)) + words + rng.choices(fill, k=rng.randrange(0, 30)))))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_contaminated(docs, items)
+    assert got == want and 12 < len(got) < 60
+
+
+def test_tables_of_numbers_and_long_documents(spark):
+    table = " ".join(str(k * k % 1000) for k in range(3000))
+    item = "Sort these values 5 17 29 41 53 61 73 89 97 11 13 and name the third one of them"
+    numbers = "3 1 4 1 5 9 2 6 5 3 5"
+    docs = docs_of(spark, [(1, table), (2, f"{table} {item} {table}"), (3, f"{table} {numbers} {table} {numbers}"), (4, f"word {item.replace('29', '30').replace('Sort', 'Order')} word")])
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, spark.createDataFrame([(1, item), (2, numbers)], "item_id long, text string")).collect()}
+    assert set(got) == {(2, 1), (3, 2)} | ({(4, 1)} & set(got))
+    assert (got[2, 1].first_word, got[2, 1].last_word, got[2, 1].coverage) == (3000, 3000 + len(item.split()) - 1, 1.0)
+    assert (got[3, 2].first_word, got[3, 2].last_word) == (3000, 3010)
+    own = decontaminate._found(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), 5, 0.8)
+    assert {r.id for r in own.collect()} <= {2, 4}
+
+
 def test_decontamination_matches_a_search_for_whole_items(spark):
     docs, items = read(spark, "documents", "/root/testdata/sf0.01").collect(), read(spark, "benchmark").collect()
     plain = lambda t: " ".join(WORDS.findall(t))
