@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import cut
 
-#: Rows of (id, flag) that a broadcast may hold: about 100 MB as a hash relation.
+#: Rows of (id, flag), or positions of lines, that a broadcast may hold: about 100 MB as a hash relation.
 BROADCAST_ROWS = 1_000_000
 
 #: Characters of text that a Python worker handles at once.

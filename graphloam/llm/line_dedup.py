@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_ROWS, cut
 
 LINES = 3
 KEYS = ["__ld_id", "__ld_null", "__ld_th"]
@@ -30,6 +30,9 @@ def _marked(docs: DataFrame, lines: int) -> DataFrame:
     later = seen.join(again, ["h1", "h2"]).where(at != F.col("first")).select(*KEYS, "pos")
     covered = later.groupBy(*KEYS).agg(F.collect_set("pos").alias("p"))
     covered = covered.select(*KEYS, F.array_distinct(F.flatten(F.transform("p", lambda i: F.sequence(i, i + (lines - 1))))).alias("__ld_cut"))
+    covered = cut(covered)
+    if (covered.agg(F.sum(F.size("__ld_cut"))).first()[0] or 0) <= BROADCAST_ROWS:  # so many positions: texts stay in place
+        covered = F.broadcast(covered)
     return keyed.join(covered, KEYS, "left").withColumn("__ld_lines", split)
 
 
