@@ -204,7 +204,8 @@ def simhash_groups(docs: DataFrame, words: int = 3, budget: int = MAX_BITS) -> D
 def drop_near_duplicates(docs: DataFrame, words: int = 3, budget: int = MAX_BITS) -> DataFrame:
     """One row of each SimHash group, with all its columns: that of the smallest doc_id (nulls last, then by a text hash).
 
-    A row that is repeated under one doc_id stays once.  An empty table stays empty.
+    Of rows with one doc_id and text the one with the smallest hash of all its columns stays, so the result does not
+    depend on the order of the rows.  Null and empty texts are one group.  An empty table stays empty.
     """
     names = docs.columns
     low = -(1 << 63)
@@ -213,4 +214,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, budget: int = MAX_BITS
     best = best.select(F.coalesce("k.d", F.lit(low)).alias("__sh_id"), F.col("k.n").alias("__sh_null"), F.col("k.t").alias("__sh_th"))
     keys = ["__sh_id", "__sh_null", "__sh_th"]
     keyed = docs.withColumns({"__sh_id": F.coalesce("doc_id", F.lit(low)), "__sh_null": F.col("doc_id").isNull(), "__sh_th": F.xxhash64("text")})
-    return keyed.join(best, keys, "left_semi").dropDuplicates(keys).select(*names)
+    one = keyed.join(best, keys, "left_semi").groupBy(*keys).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("__sh_row"))
+    return one.select("__sh_row.*")

@@ -52,6 +52,17 @@ def test_odd_rows(tables, name):
         assert not got or got[0].__fields__ == tables[0].columns
     if name == "decontaminate":
         assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in ROWS if r[0] != 2)
+    if name == "contaminated":  # the long text holds item 1; items of one word match nothing here
+        assert [(r.doc_id, r.item_id, r.coverage, r.first_word) for r in got] == [(2, 1, 1.0, 0)]
+    if name == "packing":  # a piece of every row, the long text cut every 2048 ids
+        assert sorted(str(r.doc_id) for r in got if r.piece == 0) == sorted(str(r[0]) for r in ROWS)
+        long = sorted((r.piece, r.start, r.length) for r in got if r.doc_id == 2)
+        assert [p for p, _, _ in long] == list(range(len(long))) and all(n == 2048 for _, _, n in long[:-1]) and long[-1][1] == 2048 * (len(long) - 1)
+    if name == "drop_toxic":
+        scores = sorted((str(r.doc_id), r.score) for r in toxicity.score_toxicity(*tables[:2]).collect())
+        assert sorted(str(r.doc_id) for r in got) == [k for k, s in scores if s < toxicity.THRESHOLD]
+    if name == "near_dedup":  # empty and null texts are one group, the repeated row stays once
+        assert sorted(str(r.doc_id) for r in got) == ["1", "2", "3", "3", "None"]
     if name == "language":
         assert {(r.lang_pred, r.score) for r in got if r.doc_id in (1, 4)} == {("und", 0.0)}
 
@@ -67,6 +78,26 @@ def test_no_conversations(spark):
     assert chat.digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def test_null_and_tied_turns_and_a_long_conversation(spark):
+    rows = [(1, None, "user", "b"), (1, None, "user", "a"), (1, 2, "assistant", "z"), (1, 2, "assistant", "y"), (1, 2, "user", None), (1, 2, "user", None), (None, 1, None, "q")]
+    rows += [(2, k, ("user", "assistant")[k % 2], f"<turn {k}>\\") for k in range(3000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_chats(chat.format_chats(turns)).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [("user", "a"), ("user", "b"), ("assistant", "y"), ("assistant", "z"), ("user", ""), ("user", "")]
+    assert [(t.role, t.text) for t in got[2].turns] == [r[2:] for r in rows if r[0] == 2] and [(t.role, t.text) for t in got[None].turns] == [("", "q")]
+    assert got[2].loss == [r[3] for r in rows if r[0] == 2 and r[2] == "assistant"]
+
+
+def test_survivors_do_not_depend_on_row_order(spark):
+    rows = [(1, "same text here", k) for k in range(5)] + [(2, "same text here", 9)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, n long")
+        kept = [tuple(r) for r in simhash.drop_near_duplicates(docs).collect()]
+        assert len(kept) == 1 and kept[0][:2] == (1, "same text here")
+        first = kept if order is rows else first
+    assert first == kept
+
+
 def test_pipeline_stages_keep_their_promises(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
