@@ -42,22 +42,29 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000)
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(n, DIM) unit vectors of the square roots of n-gram counts, and which texts have a letter."""
+def features(texts: list[str], size: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """(n, DIM) unit vectors of the square roots of n-gram counts, and which texts have a letter.
+
+    A long text is counted in slices of ``size`` characters; two code points are carried from one to the next, so that
+    every n-gram counts once, wherever the slices end."""
     out, some = np.zeros((len(texts), DIM), np.float32), np.zeros(len(texts), bool)
     a, b, c = np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)
     for k, text in enumerate(texts):
-        for at in range(0, len(text), SLICE):
-            x = np.frombuffer(f" {text[max(0, at - 2) : at + SLICE].lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+        text = f"{text.lower()} "
+        carried = np.array([32], np.uint32)
+        for at in range(0, len(text), size):
+            x = np.frombuffer(text[at : at + size].encode("utf-32-le", "surrogatepass"), np.uint32)
             letter = _letters()[x]
             some[k] |= letter.any()
-            x = np.where(letter, x, np.uint32(32))
+            x = np.concatenate((carried, np.where(letter, x, np.uint32(32))))
             x = x[np.concatenate(([True], (x[1:] != 32) | (x[:-1] != 32)))]  # runs of other characters are one
             with np.errstate(over="ignore"):
                 two = x[:-1] * a + x[1:] * b
                 three = two[:-1] + x[2:] * c
+                two = two[len(carried) - 1 :]  # the pair that was carried has been counted
                 h = np.concatenate((two ^ (two >> np.uint32(15)), three ^ (three >> np.uint32(13)))) * np.uint32(0x9E3779B1)
             out[k] += np.bincount(h >> np.uint32(21), minlength=DIM)
+            carried = x[-2:]
     out = np.sqrt(out)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9), some
 
@@ -152,7 +159,8 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0, sample: int = SAMPL
 
     held_out: crc32(doc_id as text) mod ``folds`` is ``held`` (false for a null doc_id); such rows, rows of a null lang
     or doc_id and texts without a letter are not learnt from.  A null text or one without a letter is ``und`` with
-    score 0, as is everything if there is nothing to learn from.  Repeated rows come back as often as they went in.
+    score 0, as is everything if there is nothing to learn from.  Texts are read whole, however long.  Repeated rows come
+    back as often as they went in, an empty table gives none; other columns are not read, whatever their names.
     """
     out = remainder(F.col("doc_id"), folds) == held
     model = docs.sparkSession.sparkContext.broadcast(train(docs, ~out, sample))

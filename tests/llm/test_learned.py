@@ -182,6 +182,62 @@ def test_forest_scores_outliers_higher():
     assert rules.threshold(s, np.arange(420) < 400) < s[400:].min() + 1e-9
 
 
+def test_slices_of_long_texts_count_every_n_gram_once():
+    texts = ["", "a", "  Straße 12,, über-all  ", "één twee\n\ndrie 4 " * 30, "1234", "ab"]
+    whole = language.features(texts)
+    for size in (1, 2, 3, 7, 50):
+        sliced = language.features(texts, size)
+        assert np.allclose(whole[0], sliced[0]) and (whole[1] == sliced[1]).all()
+
+
+def test_language_decision_is_family_then_pairs():
+    rng = np.random.default_rng(0)
+    langs = ["en", "de", "nl", "fr", "es", "fi"]
+    centre = rng.normal(0, 1, (6, language.DIM)).astype(np.float32)
+    x = np.concatenate([c + rng.normal(0, 2, (12, language.DIM)).astype(np.float32) for c in centre]) / 50
+    m = language.Model(x, [v for v in langs for _ in range(12)])
+    got, score = m.predict(x)
+    for row, lang, s in zip(x, got, score, strict=True):
+        margin = row @ m.root[:-1] + m.root[-1]
+        p = np.exp(4 * (margin - margin.max()))
+        k = int(margin.argmax())
+        codes = m.members[m.families[k]]
+        votes = dict.fromkeys(codes, 0.0)
+        for (one, two), w in m.pairs.items():
+            if one in votes and two in votes:
+                v = 1 / (1 + np.exp(-4 * float(row @ w[:-1, 0] + w[-1, 0])))
+                votes[one] += v
+                votes[two] += 1 - v
+        best = max(codes, key=lambda c: votes[c])
+        assert lang == best
+        assert s == pytest.approx(p[k] / p.sum() * (votes[best] / (len(codes) - 1) if len(codes) > 1 else 1), abs=1e-4)
+
+
+def test_forest_keeps_what_it_was_not_calibrated_on(spark):
+    """Rules calibrated on a part of the labelled rows, measured on the others."""
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    m = rules.apply_rules(docs, labels.where("crc32(cast(cast(doc_id as string) as binary)) % 2 = 0")).toPandas()
+    m = m.merge(labels.where("crc32(cast(cast(doc_id as string) as binary)) % 2 = 1").toPandas(), on="doc_id")
+    ok = m[~m.base_failed & m.quality.notna()]
+    assert len(ok) > 500 and ok[ok.quality == 1].kept.mean() > 0.95 and ok[ok.quality == 0].kept.mean() < 0.2
+
+
+def test_path_lengths_match_a_walk():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (300, 4))
+    f = rules.Forest(x, trees=20)
+    got = f.score(x[:40])
+    for row, s in zip(x[:40], got, strict=True):
+        lengths = []
+        for k in f.roots:
+            while f.feature[k] >= 0:
+                k = f.child[k] + (row[f.feature[k]] > f.threshold[k])
+            lengths.append(f.length[k])
+        n = f.size
+        usual = 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+        assert s == pytest.approx(2 ** (-np.mean(lengths) / usual))
+
+
 def test_families():
     assert language.family("en") == language.family("de") != language.family("fr") == language.family("es")
     assert language.family("xx") == "own:xx"
