@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The density of an empty set: the smallest positive normal double.
@@ -74,3 +74,38 @@ def heat_time(alpha: float) -> float:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if math.exp(mid) / mid < want else (lo, mid)
     return (lo + hi) / 2
+
+
+def jacobi(matrix: DataFrame, right: DataFrame, rounds: int = 100, tolerance: float = 1e-9, every: int = 5) -> DataFrame:
+    """(i, x) with matrix (i, j, a) x = right (i, b), by Jacobi rounds: a join and a sum each, every vertex at once.
+
+    It ends when no x changes by more than ``tolerance``, or after ``rounds``.  The diagonal must not hold zeros."""
+    from ..operators.components import cut
+
+    own = matrix.where("i = j").select("i", F.col("a").alias("d"))
+    off = cut(matrix.where("i <> j"))
+    base = cut(right.join(own, "i").select("i", "b", "d"))
+    x = base.select("i", F.lit(0.0).alias("x"))
+    for k in range(rounds):
+        moved = off.join(x.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("a") * F.col("x")).alias("s"))
+        new = base.join(moved, "i", "left").select("i", ((F.col("b") - F.coalesce("s", F.lit(0.0))) / F.col("d")).alias("x"))
+        if k % every == every - 1:
+            new = cut(new)
+            if k >= every and new.join(mark, "i").where(F.abs(F.col("x") - F.col("m")) > tolerance).isEmpty():
+                return new
+            mark = new.withColumnRenamed("x", "m")
+        x = new
+    return x
+
+
+def gauss_seidel(matrix: list[list[float]], right: list[float], rounds: int = 100, tolerance: float = 1e-12) -> list[float]:
+    """The solution of a small dense system by Gauss-Seidel rounds, which use each new value at once."""
+    x = [0.0] * len(right)
+    for _ in range(rounds):
+        most = 0.0
+        for i, row in enumerate(matrix):
+            new = (right[i] - sum(a * v for j, (a, v) in enumerate(zip(row, x, strict=True)) if j != i)) / row[i]
+            most, x[i] = max(most, abs(new - x[i])), new
+        if most <= tolerance:
+            break
+    return x

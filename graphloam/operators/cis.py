@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import EMPTY, density
+from .components import cut
 from .seedwise import by_seed
 
 
@@ -45,10 +46,18 @@ def candidate_gain(edges: DataFrame, cover: DataFrame, lam: float = 0.0) -> Data
     return c.join(s, "comm_id").select("comm_id", "v", (after - F.col("density")).alias("gain"))
 
 
+def member_loss(edges: DataFrame, cover: DataFrame, lam: float = 0.0) -> DataFrame:
+    """(comm_id, v, gain): change of density if a member leaves."""
+    s = cover_density(edges, cover, lam)
+    c = entity_stats(edges, cover).where("is_member").select("comm_id", "v", F.col("w_in").alias("ui"), F.col("w_out").alias("uo"))
+    after = density(F.col("n") - 1, F.col("w_in") - F.col("ui"), F.col("w_out") - F.col("uo") + F.col("ui"), lam)
+    return c.join(s, "comm_id").select("comm_id", "v", (after - F.col("density")).alias("gain"))
+
+
 def _dense(n: int, w_in: float, w_out: float, lam: float) -> float:
     if n < 1:
         return EMPTY
-    share = w_in / (w_in + w_out) if w_in + w_out else float("nan")
+    share = w_in / (w_in + w_out) if w_in + w_out else 0.0
     return (1 - lam) * share + (lam if n == 1 else lam * 2 * w_in / (n * (n - 1)))
 
 
@@ -94,7 +103,7 @@ class Community:
         if sign > 0:
             some = [v for v, w in self.inside.items() if w > 0 and v not in self.members]
         else:
-            some = list(self.members)
+            some = [v for v in self.members if len(self.members) > 1 or self.total(v)]  # an isolated seed stays
         before = {v: self.stats(v) for v in some} if self.compat else {}
         changed = False
         for v in self.order(some):
@@ -130,11 +139,12 @@ class Community:
 
 
 def expand(graph: dict, seed: set, lam: float = 0.0, compat: bool = False, rounds: int = 1000) -> tuple[list, bool]:
-    """(members, whether it came to rest within ``rounds``) of the community that grows from ``seed``.
+    """(members, whether it came to rest) of the community that grows from ``seed``.
 
-    graph: vertex -> {neighbour: weight}.  An isolated seed never grows."""
+    graph: vertex -> {neighbour: weight}.  An isolated seed never grows.  Every move raises the density, so the work ends
+    by itself; only the ``compat`` form, whose totals start anew in each round, is given up after ``rounds``."""
     c = Community(graph, seed, lam, compat)
-    for _ in range(rounds):
+    for _ in range(rounds) if compat else iter(int, 1):
         grown = c.scan(1)
         shrunk = c.scan(-1)
         if compat:
@@ -166,7 +176,14 @@ def expand_seeds(edges: DataFrame, seeds: DataFrame | None = None, lam: float =
 
 
 def detect_cis(edges: DataFrame, lam: float = 0.0, seeds: DataFrame | None = None, compat: bool = False) -> DataFrame:
-    """(comm_id, member): distinct communities, named by their smallest seed."""
-    from .merge import exact_dedup
+    """(comm_id, member, converged): distinct communities, named by their smallest seed.
+
+    ``compat``: the communities are folded in the order of seeds, each into the first that holds it or that it holds.
+    converged: whether the growth of all seeds of a community (compat: of the one that began it) came to rest."""
+    from .merge import ordered_fold
 
-    return exact_dedup(expand_seeds(edges, seeds, lam, compat).select(F.col("seed").alias("comm_id"), "member"))
+    grown = cut(expand_seeds(edges, seeds, lam, compat).groupBy("seed").agg(F.array_sort(F.collect_set("member")).alias("m"), F.min("converged").alias("converged")))
+    if compat:
+        folded = ordered_fold(grown.select(F.col("seed").alias("pos"), "m"))
+        return folded.join(grown.select(F.col("seed").alias("comm_id"), "converged"), "comm_id")
+    return grown.groupBy("m").agg(F.min("seed").alias("comm_id"), F.min("converged").alias("converged")).select("comm_id", F.explode("m").alias("member"), "converged")

@@ -57,6 +57,12 @@ def decode(cover: DataFrame, names: DataFrame) -> DataFrame:
     return cover.join(names, cover.member == names.idx).select("comm_id", F.col("name").alias("member"))
 
 
+def encode_network(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(src, dst, w) with indices of ``names`` (idx, name) for names."""
+    e = edges.join(names.select(F.col("name").alias("src"), F.col("idx").alias("__s")), "src")
+    return e.join(names.select(F.col("name").alias("dst"), F.col("idx").alias("__d")), "dst").select(F.col("__s").alias("src"), F.col("__d").alias("dst"), "w")
+
+
 def neighbours(edges: DataFrame, of: DataFrame) -> DataFrame:
     """(v, dst, w) of the vertices ``of`` (v); one without neighbours has a null."""
     return of.join(edges, of.v == edges.src, "left").select("v", "dst", "w")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import COEFFICIENTS
-from .graph import degrees, number
+from .components import cut
+from .graph import degrees, ego_seeds, number
 
 
 def belonging(cover: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def belonging(cover: DataFrame) -> DataFrame:
 def modularity(edges: DataFrame, cover: DataFrame, coefficient: str = "max") -> DataFrame:
     """(modularity): link-belonging modularity; ordered pairs are summed and divided by the undirected edge count."""
     f = COEFFICIENTS[coefficient]
-    e = edges.select("src", "dst").where("src <> dst").distinct()
+    e, cover = cut(edges.select("src", "dst").where("src <> dst").distinct()), cut(cover)
     deg = e.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d"))
     size = e.agg((F.count("*") / 2).alias("m")).crossJoin(deg.agg(F.count("*").alias("nv")))  # one row by one row
     a = cover.join(belonging(cover), "member").join(deg, F.col("member") == F.col("v")).select("comm_id", "member", "alpha", "d")
@@ -40,6 +41,43 @@ def cover_report(edges: DataFrame, cover: DataFrame) -> DataFrame:
     return one.select("n_nodes", "n_edges", "n_communities", (F.col("s") / F.col("n_communities")).alias("avg_size"), F.floor(F.col("s") / F.col("n_communities")).alias("avg_size_floor"))
 
 
+def full_report(edges: DataFrame, cover: DataFrame, coefficient: str = "max", lines: DataFrame | None = None) -> DataFrame:
+    """``cover_report`` with the modularity, and with the run time of a result log (``lines``) if one is given."""
+    one = cover_report(edges, cover).join(modularity(edges, cover, coefficient))  # one row by one row
+    if lines is None:
+        return one
+    from ..sources import log_fields
+
+    return one.join(log_fields(lines).select("time_ms"))
+
+
+def evaluate(edges: DataFrame, truth: DataFrame, clusters) -> DataFrame:
+    """(truth_id, f1, size, conductance): of each true community (truth_id, member) the best cluster of its members.
+
+    clusters: a function of (edges, seeds (seed, v)) that gives (status, members) as ``diffusion.sweep`` does; each member
+    is a seed of its own.  Of equal f1 the smallest seed counts."""
+    seeds = truth.select(F.col("member").alias("seed"), F.col("member").alias("v")).distinct()
+    status, members = clusters(edges, seeds)
+    found = cut(members.select("seed", "v"))
+    nt = truth.groupBy("truth_id").agg(F.count("*").alias("nt"))
+    both = truth.withColumnRenamed("member", "seed").join(found, "seed").join(truth.select(F.col("truth_id").alias("t2"), F.col("member").alias("m2")), (F.col("v") == F.col("m2")) & (F.col("truth_id") == F.col("t2")))
+    hits = both.groupBy("truth_id", "seed").agg(F.count("*").alias("k")).join(nt, "truth_id").join(status.select("seed", "size", "conductance"), "seed")
+    p, r = F.col("k") / F.col("size"), F.col("k") / F.col("nt")
+    scored = hits.select("truth_id", "seed", (2 * p * r / (p + r)).alias("f1"), "size", "conductance")
+    best = scored.groupBy("truth_id").agg(F.max_by(F.struct("f1", "size", "conductance"), F.struct("f1", -F.col("seed"))).alias("b"))
+    return best.select("truth_id", "b.f1", "b.size", "b.conductance")
+
+
+def means(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row: the mean of each column, as mean_<column>."""
+    return rows.agg(*(F.avg(c).alias(f"mean_{c}") for c in columns))
+
+
+def seed_sets(edges: DataFrame, seeds: DataFrame, hood: bool = False) -> DataFrame:
+    """(seed, v) for drawn seeds (v): each vertex by itself, with ``hood`` together with its neighbours."""
+    return ego_seeds(edges, seeds) if hood else seeds.select(F.col("v").alias("seed"), "v").distinct()
+
+
 def best_f1(found: DataFrame, truth: DataFrame) -> DataFrame:
     """(truth_id, comm_id, precision, recall, f1): of each true community (truth_id, member) the best found one."""
     nf, nt = found.groupBy("comm_id").agg(F.count("*").alias("nf")), truth.groupBy("truth_id").agg(F.count("*").alias("nt"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict, deque
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import psi, push_thresholds, taylor_degree
 from .components import cut
 
-#: Edges that a broadcast adjacency may have; beyond it seeds fetch the neighbourhoods they need.
-BROADCAST_EDGES = 5_000_000
+#: Edges that a broadcast adjacency may have (24 bytes each); beyond it seeds fetch the neighbourhoods they need.
+BROADCAST_EDGES = 2_000_000
 
 Graph = dict[int, dict[int, float]]
 
@@ -26,22 +27,44 @@ def adjacency(src, dst, w) -> Graph:
     return out
 
 
+class Rows(dict):
+    """A graph as sorted arrays of edges; the neighbours of a vertex become a dict when it is first looked up."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray):
+        super().__init__()
+        self.src, self.dst, self.w = src, dst, w
+
+    @classmethod
+    def of(cls, edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("w").cast("double")).toArrow()
+        src, dst, w = (e.column(k).to_numpy() for k in range(3))
+        order = np.lexsort((w, dst, src))
+        return src[order], dst[order], w[order]
+
+    def __missing__(self, v: int) -> dict[int, float]:
+        a, b = np.searchsorted(self.src, (v, v + 1))
+        self[v] = near = dict(zip(self.dst[a:b].tolist(), self.w[a:b].tolist(), strict=True))
+        return near
+
+    def get(self, v: int, default=None) -> dict[int, float]:
+        return self[v]
+
+
 def by_seed(edges: DataFrame, seeds: DataFrame, work: Callable[[Graph, list[int]], list[tuple]], fields: str, broadcast_edges: int | None = None) -> DataFrame:
     """(seed, *fields): the rows that ``work(graph, members)`` gives for each seed set of ``seeds`` (seed, member).
 
-    The adjacency is broadcast if its edges are counted to be at most ``broadcast_edges``.  Beyond that seeds fetch the
-    neighbourhoods that their work looks at, see ``_by_request``; ``work`` sees the same neighbours either way, and must
-    look vertices up by ``graph[v]`` or ``graph.get(v)`` only.  Members without an edge have no neighbours.
+    The adjacency is broadcast as sorted arrays if its edges are counted to be at most ``broadcast_edges``.  Beyond that
+    seeds fetch the neighbourhoods that their work looks at, see ``_by_request``; ``work`` sees the same neighbours either
+    way, and must look vertices up by ``graph[v]`` or ``graph.get(v)`` only.  Members without an edge have no neighbours.
     """
     most = BROADCAST_EDGES if broadcast_edges is None else broadcast_edges
     kind = f"seed long, {fields}"
     names = ["seed", *(f.split()[0] for f in fields.split(","))]
     if edges.limit(most + 1).count() <= most:
-        e = edges.select("src", "dst", "w").toPandas()
-        sent = edges.sparkSession.sparkContext.broadcast((e.src.to_numpy(), e.dst.to_numpy(), e.w.to_numpy()))
+        sent = edges.sparkSession.sparkContext.broadcast(Rows.of(edges))
 
         def run(batches):
-            graph = adjacency(*(x.tolist() for x in sent.value))
+            graph = Rows(*sent.value)
             for pdf in batches:
                 rows = [(s, *row) for s, m in zip(pdf.seed, pdf.m, strict=True) for row in work(graph, m.tolist())]
                 yield pd.DataFrame(rows, columns=names)
@@ -198,6 +221,29 @@ def exponential_column(graph: Graph, seed: int, eps: float = 0.000917, terms: in
     return dict(x)
 
 
+def lazy_push(graph: Graph, seeds: dict[int, float], alpha: float = 0.99, tolerance: float = 1e-4) -> tuple[dict[int, float], int]:
+    """(vector, steps): pushes of the lazy walk: of a residual (1 - alpha) settles, half of the rest stays, half moves on.
+
+    A vertex pushes while its residual is at least tolerance * degree; without any push the vector is the seeds'."""
+    r, p, steps = dict(seeds), {}, 0
+    queue = deque(v for v in sorted(seeds) if graph.get(v) and r[v] >= tolerance * len(graph[v]))
+    while queue:
+        v = queue.popleft()
+        near, mass = graph[v], r[v]
+        p[v] = p.get(v, 0.0) + (1 - alpha) * mass
+        r[v] = alpha * mass / 2
+        steps += 1
+        share = alpha * mass / (2 * len(near))
+        for u in near:
+            was = r.get(u, 0.0)
+            r[u] = was + share
+            if u != v and was < tolerance * len(graph[u]) <= r[u]:
+                queue.append(u)
+        if r[v] >= tolerance * len(near):
+            queue.append(v)
+    return (p or r), steps
+
+
 def ppr_push(graph: Graph, seeds: dict[int, float], alpha: float = 0.99, target_volume: int = 100) -> tuple[dict[int, float], int]:
     """(vector, steps): the queue-ordered personalised PageRank push; without any push the vector is the seeds'."""
     eps = 1.0 / max(10 * target_volume, 100)
@@ -247,6 +293,16 @@ def ppr_vector_exact(edges: DataFrame, seeds: DataFrame, alpha: float = 0.99, ta
     return by_seed(edges, _sets(seeds), work, "v long, x double, steps long")
 
 
+def lazy_vector_exact(edges: DataFrame, seeds: DataFrame, alpha: float = 0.99, tolerance: float = 1e-4) -> DataFrame:
+    """(seed, v, x, steps): ``lazy_push`` of every seed set (seed, v)."""
+
+    def work(graph, members):
+        x, steps = lazy_push(graph, _equal(members), alpha, tolerance)
+        return [(v, m, steps) for v, m in x.items()]
+
+    return by_seed(edges, _sets(seeds), work, "v long, x double, steps long")
+
+
 def exponential_columns(edges: DataFrame, seeds: DataFrame, eps: float = 0.000917, terms: int = 6) -> DataFrame:
     """(seed, v, x): ``exponential_column`` of every vertex of ``seeds`` (seed, v)."""
 

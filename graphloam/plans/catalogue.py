@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import sources
+from .. import functions, sources
 from ..functions import conductance, psi, push_budget, push_thresholds, taylor_degree
 from ..operators import cis, components, demon, diffusion, graph, merge, metrics, seedwise
 from .projections import nation_trade, order_cover, part_copurchase, region_cover, shared_lines, table
@@ -13,22 +15,21 @@ from .projections import nation_trade, order_cover, part_copurchase, region_cove
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-LEN, HK_T, HK_EPS = 3, 1.0, 1e-2
+#: The heat kernel's usual parameters; vectors are given as shares of e**t.
+HK_T, HK_EPS = 15.0, 1e-4
 
 
-def trade_sql(top: int = 4, name: str = "e") -> str:
+def trade_sql(name: str = "e") -> str:
     return f"""{name}_p AS (SELECT least(c_nationkey, s_nationkey)::BIGINT AS a, greatest(c_nationkey, s_nationkey)::BIGINT AS b, count(*)::DOUBLE AS w
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
-{name}_s AS (SELECT a AS src, b AS dst, w FROM {name}_p UNION ALL SELECT b, a, w FROM {name}_p),
-{name}_k AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS rn FROM {name}_s) WHERE rn <= {top}),
-{name} AS MATERIALIZED (SELECT a AS src, b AS dst, w FROM {name}_k UNION ALL SELECT b, a, w FROM {name}_k)"""
+{name} AS MATERIALIZED (SELECT a AS src, b AS dst, w FROM {name}_p UNION ALL SELECT b, a, w FROM {name}_p)"""
 
 
 PARTS = """pp AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
 pk AS (SELECT x.p AS a, y.p AS b, count(*)::DOUBLE AS w FROM pp x JOIN pp y ON x.o = y.o AND x.p < y.p GROUP BY 1, 2 HAVING count(*) >= 2),
 e AS MATERIALIZED (SELECT a AS src, b AS dst, w FROM pk UNION ALL SELECT b, a, w FROM pk)"""
 REGIONS = "c AS (SELECT n_regionkey::BIGINT AS comm_id, n_nationkey::BIGINT AS member FROM nation)"
-OVERLAPPING = trade_sql(2, "e2") + ", c AS MATERIALIZED (SELECT src AS comm_id, dst AS member FROM e2 UNION SELECT src, src FROM e2)"
+OVERLAPPING = trade_sql("e2") + ", c AS MATERIALIZED (SELECT src AS comm_id, dst AS member FROM (SELECT *, avg(w) OVER (PARTITION BY src) AS mean FROM e2) WHERE w > mean UNION SELECT src, src FROM e2)"
 PAIRS = """n AS (SELECT comm_id, count(*) AS n FROM c GROUP BY 1),
 o AS (SELECT x.comm_id AS a, y.comm_id AS b, count(*) AS k FROM c x JOIN c y ON x.member = y.member AND x.comm_id < y.comm_id GROUP BY 1, 2),
 q AS MATERIALIZED (SELECT a, b, k AS shared, na.n AS na, nb.n AS nb FROM o JOIN n na ON na.comm_id = a JOIN n nb ON nb.comm_id = b)"""
@@ -282,19 +283,25 @@ def ego_minus_ego_edges(spark, d):
     return graph.ego_minus_ego(part_copurchase(spark, d))
 
 
-def _label_sql(rounds: int, edges: str, by: str) -> str:
+def _label_sql(rounds: int, edges: str, by: str, weight: str = "1") -> str:
     key = f"{by}, " if by else ""
     out = [f"l0 AS MATERIALIZED (SELECT DISTINCT {key}src AS v, src AS label FROM {edges})"]
     for k in range(rounds):
         on = f"l.{by} = x.{by} AND " if by else ""
         xk = f"x.{by}, " if by else ""
-        out.append(f"l{k + 1} AS MATERIALIZED (SELECT {key}v, label FROM (SELECT *, row_number() OVER (PARTITION BY {key}v ORDER BY s DESC, label) AS rn FROM (SELECT {xk}x.src AS v, l.label, count(*) AS s FROM {edges} x JOIN l{k} l ON {on}l.v = x.dst GROUP BY ALL)) WHERE rn = 1)")
+        out.append(f"l{k + 1} AS MATERIALIZED (SELECT {key}v, label FROM (SELECT *, row_number() OVER (PARTITION BY {key}v ORDER BY s DESC, label) AS rn FROM (SELECT {xk}x.src AS v, l.label, sum({weight}) AS s FROM {edges} x JOIN l{k} l ON {on}l.v = x.dst GROUP BY ALL)) WHERE rn = 1)")
     return ", ".join(out)
 
 
-@query(f"WITH {trade_sql()}, {_label_sql(3, 'e', '')} SELECT v, label FROM l3")
+@query(f"WITH {PARTS}, {_label_sql(99, 'e', '')} SELECT v, label FROM l99")
 def label_propagation_k(spark, d):
-    return demon.propagate_labels(nation_trade(spark, d), 3)
+    return demon.propagate_labels(part_copurchase(spark, d), 99)
+
+
+@query(f"WITH {PARTS}, {_label_sql(5, 'e', '', '(x.dst % 3 + 1)')} SELECT v, label FROM l5")
+def label_vertex_vote(spark, d):
+    e = part_copurchase(spark, d)
+    return demon.propagate_labels(e, 5, weights=e.select(F.col("src").alias("v"), (F.col("src") % 3 + 1).cast("double").alias("vw")).distinct(), vote="vertex")
 
 
 _LOCAL = f"""{_TRIANGLES}, eg AS MATERIALIZED (SELECT ego, a AS src, b AS dst FROM tri UNION ALL SELECT ego, b, a FROM tri), {_label_sql(3, 'eg', 'ego')},
@@ -307,11 +314,50 @@ def demon_local_communities(spark, d):
     return demon.local_communities(part_copurchase(spark, d), 3)
 
 
-@query(f"""WITH RECURSIVE {trade_sql(2)}, {_LOCAL}, sets AS (SELECT m, row_number() OVER (ORDER BY m) AS comm_id FROM (SELECT DISTINCT m FROM (SELECT ego, label, list(DISTINCT member ORDER BY member) AS m FROM lc GROUP BY 1, 2))),
+@query(f"""WITH RECURSIVE {trade_sql()}, {_LOCAL}, sets AS (SELECT m, row_number() OVER (ORDER BY m) AS comm_id FROM (SELECT DISTINCT m FROM (SELECT ego, label, list(DISTINCT member ORDER BY member) AS m FROM lc GROUP BY 1, 2))),
 c AS MATERIALIZED (SELECT comm_id, unnest(m) AS member FROM sets), {PAIRS}, links AS (SELECT a AS x, b AS y FROM q WHERE shared / least(na, nb) > 0.25), nodes AS (SELECT comm_id AS v FROM sets), {CC},
 g AS (SELECT DISTINCT comp, member FROM c JOIN cc ON v = comm_id), z AS (SELECT comp, list(member ORDER BY member) AS m FROM g GROUP BY 1 HAVING count(*) > 1) SELECT array_to_string(m, '|') AS members FROM z""")
+def demon_cover_closure(spark, d):
+    return sources.community_lines(demon.detect_demon(components.cut(nation_trade(spark, d)), 0.25, 1, 4, fold="closure")).withColumnRenamed("value", "members")
+
+
+@query()
 def demon_cover(spark, d):
-    return sources.community_lines(demon.detect_demon(nation_trade(spark, d, 2), 0.25, 1, 4)).withColumnRenamed("value", "members")
+    return sources.community_lines(demon.detect_demon(components.cut(part_copurchase(spark, d)))).withColumnRenamed("value", "members")
+
+
+@query()
+def demon_cover_compat(spark, d):
+    return sources.community_lines(demon.detect_demon(components.cut(nation_trade(spark, d)), compat=True)).withColumnRenamed("value", "members")
+
+
+@query()
+def demon_cover_last(spark, d):
+    return sources.community_lines(demon.detect_demon(components.cut(nation_trade(spark, d)), min_size=3, fold="last")).withColumnRenamed("value", "members")
+
+
+@query()
+def containment_fold(spark, d):
+    sets = order_cover(spark, d).groupBy(F.col("comm_id").alias("pos")).agg(F.array_sort(F.collect_set("member")).alias("m"))
+    return merge.ordered_fold(sets)
+
+
+@query()
+def cover_reduce(spark, d):
+    return merge.reduce_covers(order_cover(spark, d), region_cover(spark, d))
+
+
+@query(f"WITH {OVERLAPPING}, u AS (SELECT DISTINCT x.comm_id AS a, y.comm_id AS b FROM c x JOIN c y ON y.comm_id = x.comm_id + 1) SELECT a, b, (SELECT string_agg(CAST(member AS VARCHAR), '|' ORDER BY member) FROM (SELECT DISTINCT member FROM c WHERE comm_id IN (a, b))) AS members FROM u")
+def sorted_union(spark, d):
+    c = components.cut(order_cover(spark, d))
+    ids = c.select(F.col("comm_id").alias("a")).distinct()
+    pairs = ids.join(ids.select(F.col("a").alias("b")), F.col("b") == F.col("a") + 1)
+    return merge.union_of(c, pairs).select("a", "b", F.array_join(F.col("members").cast("array<string>"), "|").alias("members"))
+
+
+@query(f"WITH {OVERLAPPING}, n AS (SELECT comm_id FROM c GROUP BY 1 HAVING count(*) > 3) SELECT x.comm_id AS a, y.comm_id AS b FROM n x JOIN n y ON x.comm_id < y.comm_id")
+def complete_meta_graph(spark, d):
+    return merge.complete_meta_graph(order_cover(spark, d), 3)
 
 
 @query(f"WITH {OVERLAPPING}, {PAIRS} SELECT a, b, shared, na, nb, round(shared / least(na, nb), 6) AS ratio FROM q")
@@ -351,8 +397,8 @@ def hk_coefficients(spark, d):
     return spark.createDataFrame(rows, "level bigint, psi double, threshold double, kdd_threshold double")
 
 
-def _hk_sql(kdd: bool = False) -> str:
-    out = [DEG, "r0 AS MATERIALIZED (SELECT v AS seed, v, 1.0::DOUBLE AS r FROM d)"]
+def _hk_sql(kdd: bool = False, seeds: str = "d") -> str:
+    out = [DEG, f"r0 AS MATERIALIZED (SELECT v AS seed, v, 1.0::DOUBLE AS r FROM {seeds})"]
     xs = []
     for j, (_, _, a, b) in enumerate(_coefficients()):
         bar = f"WHERE r >= deg * {(b if kdd else a)!r}" if j else ""
@@ -364,7 +410,7 @@ def _hk_sql(kdd: bool = False) -> str:
     return ", ".join(out)
 
 
-SWEEP = """rk AS MATERIALIZED (SELECT seed, y.v, deg, row_number() OVER (PARTITION BY seed ORDER BY round(x / deg, 12) DESC, y.v) AS rank FROM y JOIN d ON d.v = y.v),
+SWEEP = """rk AS MATERIALIZED (SELECT seed, v, deg, row_number() OVER (PARTITION BY seed ORDER BY round(x / deg / mx, 10) DESC, v) AS rank FROM (SELECT seed, y.v, deg, x, max(x) OVER (PARTITION BY seed) AS mx FROM y JOIN d ON d.v = y.v)),
 er AS (SELECT a.seed, a.v, count(*) AS k FROM rk a JOIN e ON src = a.v JOIN rk b ON b.seed = a.seed AND b.v = dst AND b.rank < a.rank GROUP BY 1, 2),
 sm AS (SELECT rk.seed, rank, sum(deg - 2 * coalesce(k, 0)) OVER w AS cut, sum(deg) OVER w AS volume, count(*) OVER (PARTITION BY rk.seed) AS support FROM rk LEFT JOIN er ON er.seed = rk.seed AND er.v = rk.v WINDOW w AS (PARTITION BY rk.seed ORDER BY rank)),
 sc AS (SELECT *, CASE WHEN volume >= tot THEN 1.0 ELSE cut / least(volume, tot - volume) END AS conductance FROM sm, (SELECT count(*) AS tot FROM e)),
@@ -375,16 +421,16 @@ def _all_seeds(e):
     return e.select(F.col("src").alias("seed"), F.col("src").alias("v")).distinct()
 
 
-@query(f"WITH {trade_sql()}, {_hk_sql()} SELECT seed, v, round(x, 6) AS x FROM y")
+@query(f"WITH {trade_sql()}, {_hk_sql()} SELECT seed, v, round(x / exp({HK_T}), 9) AS x FROM y")
 def hk_vector(spark, d):
     e = components.cut(nation_trade(spark, d))
-    return diffusion.hk_vector(e, _all_seeds(e), HK_T, HK_EPS).withColumn("x", F.round("x", 6))
+    return diffusion.hk_vector(e, _all_seeds(e), HK_T, HK_EPS).withColumn("x", F.round(F.col("x") / math.exp(HK_T), 9))
 
 
-@query(f"WITH {trade_sql()}, {_hk_sql(True)} SELECT seed, v, round(x, 6) AS x FROM y")
+@query(f"WITH {trade_sql()}, {_hk_sql(True)} SELECT seed, v, round(x / exp({HK_T}), 9) AS x FROM y")
 def hk_vector_kdd(spark, d):
     e = components.cut(nation_trade(spark, d))
-    return diffusion.hk_vector(e, _all_seeds(e), HK_T, HK_EPS, kdd=True).withColumn("x", F.round("x", 6))
+    return diffusion.hk_vector(e, _all_seeds(e), HK_T, HK_EPS, kdd=True).withColumn("x", F.round(F.col("x") / math.exp(HK_T), 9))
 
 
 def _rounded(s):
@@ -397,22 +443,60 @@ def hk_sweep(spark, d):
     return _rounded(diffusion.sweep(e, diffusion.hk_vector(e, _all_seeds(e), HK_T, HK_EPS))[0])
 
 
-@query(f"WITH {trade_sql()}, {_hk_sql()} SELECT seed, v, round(x, 6) AS x FROM y")
+@query(f"WITH {trade_sql()}, {_hk_sql()} SELECT seed, v, round(x / exp({HK_T}), 9) AS x FROM y")
 def hk_vector_queue(spark, d):
     e = components.cut(nation_trade(spark, d))
-    return seedwise.hk_vector_exact(e, _all_seeds(e), HK_T, HK_EPS).select("seed", "v", F.round("x", 6).alias("x"))
+    return seedwise.hk_vector_exact(e, _all_seeds(e), HK_T, HK_EPS).select("seed", "v", F.round(F.col("x") / math.exp(HK_T), 9).alias("x"))
+
+
+_HEAVY = "(SELECT v FROM d ORDER BY deg DESC, v LIMIT 10)"
+
+
+@query(f"WITH {PARTS}, {_hk_sql(seeds=_HEAVY)}, {SWEEP} SELECT seed, conductance, cut, volume, support, CAST(size AS BIGINT) AS size FROM sw")
+def hk_sweep_heavy_seeds(spark, d):
+    e = components.cut(part_copurchase(spark, d))
+    return _rounded(diffusion.sweep(e, diffusion.hk_vector(e, metrics.seed_sets(e, metrics.top_degree(e, 10)), HK_T, HK_EPS))[0])
+
+
+@query(f"""WITH {PARTS}, {_hk_sql(seeds=_HEAVY)}, {SWEEP} SELECT round(avg(conductance), 6) AS mean_conductance, round(avg(size), 6) AS mean_size FROM sw""")
+def mean_of_sweeps(spark, d):
+    m = metrics.means(hk_sweep_heavy_seeds(spark, d), "conductance", "size")
+    return m.select(*(F.round(c, 6).alias(c) for c in m.columns))
+
+
+@query(f"WITH {PARTS}, {DEG}, h AS (SELECT v FROM d ORDER BY deg DESC, v LIMIT 10) SELECT v AS seed, dst AS v FROM h JOIN e ON src = v UNION SELECT v, v FROM h")
+def heavy_hood_seeds(spark, d):
+    e = part_copurchase(spark, d)
+    return metrics.seed_sets(e, metrics.top_degree(e, 10), hood=True)
 
 
 @query()
 def hk_vector_budget(spark, d):
     e = components.cut(nation_trade(spark, d))
-    return seedwise.hk_vector_exact(e, _all_seeds(e), 5.0, HK_EPS, push_budget(e.select("src").distinct().count()))
+    return seedwise.hk_vector_exact(e, _all_seeds(e), HK_T, HK_EPS, push_budget(e.select("src").distinct().count()))
 
 
 @query()
 def ppr_vector_queue(spark, d):
     e = components.cut(nation_trade(spark, d))
-    return seedwise.ppr_vector_exact(e, _all_seeds(e), 0.9, 100)
+    return seedwise.ppr_vector_exact(e, _all_seeds(e))
+
+
+@query()
+def ppr_lazy_queue(spark, d):
+    e = components.cut(nation_trade(spark, d))
+    return seedwise.lazy_vector_exact(e, _all_seeds(e), 0.99, 1e-3)
+
+
+@query()
+def seed_report(spark, d):
+    return diffusion.seed_report(components.cut(part_copurchase(spark, d)), 20)
+
+
+@query()
+def truth_evaluation(spark, d):
+    e = components.cut(nation_trade(spark, d))
+    return metrics.evaluate(e, region_cover(spark, d).withColumnRenamed("comm_id", "truth_id"), lambda g, s: diffusion.grow_once(g, s, 5.0))
 
 
 @query()
@@ -432,13 +516,25 @@ def heat_kernel_cover_compat(spark, d):
 
 @query()
 def demon_local_async(spark, d):
-    return demon.local_communities_async(part_copurchase(spark, d), 20, "edge")
+    return demon.local_communities_async(part_copurchase(spark, d), vote="edge")
 
 
 @query()
 def hk_best_of_grid(spark, d):
     e = components.cut(nation_trade(spark, d))
-    return diffusion.best_of_grid(e, _all_seeds(e), ((1.0, 1e-2), (2.0, 1e-2)))
+    return diffusion.best_of_grid(e, _all_seeds(e), exact=True)
+
+
+@query()
+def ppr_best_of_grid(spark, d):
+    e = components.cut(nation_trade(spark, d))
+    return diffusion.best_of_grid(e, _all_seeds(e), diffusion.PPR_GRID, "ppr", exact=True)
+
+
+@query()
+def hk_best_of_grid_hood(spark, d):
+    e = components.cut(part_copurchase(spark, d))
+    return diffusion.best_of_grid(e, metrics.seed_sets(e, metrics.top_degree(e, 10)), neighbourhood=True, exact=True)
 
 
 @query()
@@ -446,6 +542,11 @@ def heat_kernel_cover(spark, d):
     return diffusion.detect_hk(components.cut(nation_trade(spark, d)), HK_T, HK_EPS)
 
 
+@query()
+def heat_kernel_cover_ordered(spark, d):
+    return diffusion.detect_hk(components.cut(nation_trade(spark, d)), HK_T, HK_EPS, ordered=True)
+
+
 def _pagerank_sql(rounds: int) -> str:
     out = [DEG, "nn AS (SELECT count(*) AS n FROM d)", "x0 AS MATERIALIZED (SELECT v, 1.0 / n AS x FROM d, nn)"]
     for k in range(rounds):
@@ -453,27 +554,56 @@ def _pagerank_sql(rounds: int) -> str:
     return ", ".join(out)
 
 
-@query(f"WITH {PARTS}, {_pagerank_sql(5)} SELECT v, round(x, 9) AS x FROM x5")
+@query(f"WITH {PARTS}, {_pagerank_sql(10)} SELECT v, round(x, 9) AS x FROM x10")
 def pagerank_power_k(spark, d):
-    return diffusion.pagerank(part_copurchase(spark, d), 0.85, 5).withColumn("x", F.round("x", 9))
+    return diffusion.pagerank(part_copurchase(spark, d), 0.85, 10).withColumn("x", F.round("x", 9))
 
 
-def _ppr_sql(rounds: int, alpha: float, volume: int) -> str:
-    eps = 1.0 / max(10 * volume, 100)
-    out = [DEG, "r0 AS MATERIALIZED (SELECT v AS seed, v, 1.0::DOUBLE AS r FROM d)"]
-    xs = []
+def _personal_sql(rounds: int) -> str:
+    out = [DEG, "b AS MATERIALIZED (SELECT v, CASE WHEN v = (SELECT min(v) FROM d) THEN 1.0 ELSE 0.0 END::DOUBLE AS b FROM d)", "x0 AS MATERIALIZED (SELECT v, b AS x FROM b)"]
     for k in range(rounds):
-        out.append(f"a{k} AS MATERIALIZED (SELECT seed, r{k}.v, r, deg, CASE WHEN r > {eps!r} * deg THEN r - {0.5 * eps!r} * deg ELSE 0.0 END AS moved FROM r{k} JOIN d ON d.v = r{k}.v)")
-        xs.append(f"SELECT seed, v, {1 - alpha!r} * moved AS x FROM a{k} WHERE moved > 0")
-        out.append(f"r{k + 1} AS MATERIALIZED (SELECT seed, v, sum(r) AS r FROM (SELECT seed, v, r - moved AS r FROM a{k} UNION ALL SELECT seed, dst, {alpha!r} * moved / deg FROM a{k} JOIN e ON src = a{k}.v WHERE moved > 0) GROUP BY 1, 2)")
-    out.append(f"y AS MATERIALIZED (SELECT seed, v, sum(x) AS x FROM ({' UNION ALL '.join(xs)}) GROUP BY 1, 2)")
+        out.append(f"x{k + 1} AS MATERIALIZED (SELECT b.v, 0.85 * coalesce(s, 0.0) + 0.15 * b AS x FROM b LEFT JOIN (SELECT dst, sum(x / deg) AS s FROM x{k} JOIN d ON d.v = x{k}.v JOIN e ON src = x{k}.v GROUP BY 1) g ON g.dst = b.v)")
     return ", ".join(out)
 
 
-@query(f"WITH {trade_sql()}, {_ppr_sql(4, 0.9, 100)}, {SWEEP} SELECT seed, conductance, cut, volume, support, CAST(size AS BIGINT) AS size FROM sw")
+@query(f"WITH {PARTS}, {_personal_sql(20)} SELECT v, round(x / (SELECT sum(x) FROM x20), 9) AS x FROM x20")
+def pagerank_personal(spark, d):
+    e = components.cut(part_copurchase(spark, d))
+    return diffusion.pagerank(e, 0.85, 20, personal=e.agg(F.min("src").alias("v")), normalize=True).withColumn("x", F.round("x", 9))
+
+
+@query()
 def ppr_sync_sweep(spark, d):
     e = components.cut(nation_trade(spark, d))
-    return _rounded(diffusion.sweep(e, diffusion.ppr_vector(e, _all_seeds(e), 0.9, 100, 4))[0])
+    return _rounded(diffusion.sweep(e, diffusion.ppr_vector(e, _all_seeds(e)).select("seed", "v", "x"))[0])
+
+
+@query(f"WITH {trade_sql()}, {_hk_sql()}, s AS (SELECT DISTINCT seed FROM y) SELECT s.seed, d.v, round(coalesce(x, 0.0) / exp({HK_T}), 9) AS x FROM s CROSS JOIN d LEFT JOIN y ON y.seed = s.seed AND y.v = d.v")
+def hk_vector_dense(spark, d):
+    e = components.cut(nation_trade(spark, d))
+    x = diffusion.dense(components.cut(diffusion.hk_vector(e, _all_seeds(e), HK_T, HK_EPS)), e.select(F.col("src").alias("v")).distinct())
+    return x.withColumn("x", F.round(F.col("x") / math.exp(HK_T), 9))
+
+
+@query("SELECT a AS alpha, round(1 / (1 - a), 6) AS rate FROM (SELECT unnest([0.85, 0.9, 0.99, 0.999])::DOUBLE AS a)")
+def heat_time_of_alpha(spark, d):
+    return spark.createDataFrame([(a, functions.heat_time(a)) for a in (0.85, 0.9, 0.99, 0.999)], "alpha double, t double").select("alpha", F.round(F.exp("t") / F.col("t"), 6).alias("rate"))
+
+
+def _jacobi_sql(rounds: int) -> str:
+    out = ["m AS MATERIALIZED (SELECT src AS i, dst AS j, -1.0::DOUBLE AS a FROM e)", "o AS MATERIALIZED (SELECT i, count(*) + 2.0 AS d, 1.0 + i % 5 AS b FROM m GROUP BY 1)", "x0 AS (SELECT i, 0.0::DOUBLE AS x FROM o)"]
+    for k in range(rounds):
+        out.append(f"x{k + 1} AS MATERIALIZED (SELECT o.i, (b - coalesce(s, 0.0)) / d AS x FROM o LEFT JOIN (SELECT m.i, sum(a * x) AS s FROM m JOIN x{k} ON x{k}.i = m.j GROUP BY 1) t ON t.i = o.i)")
+    return ", ".join(out)
+
+
+@query(f"WITH {PARTS}, {_jacobi_sql(15)} SELECT i, round(x, 8) AS x FROM x15")
+def jacobi_solver(spark, d):
+    e = components.cut(part_copurchase(spark, d))
+    deg = graph.degrees(e).select(F.col("v").alias("i"), F.col("v").alias("j"), (F.col("deg") + 2.0).alias("a"))
+    matrix = e.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(-1.0).alias("a")).unionByName(deg)
+    right = deg.select("i", (1.0 + F.col("i") % 5).alias("b"))
+    return functions.jacobi(matrix, right, 15, 0.0).withColumn("x", F.round("x", 8))
 
 
 @query("SELECT CAST(k AS BIGINT) AS k, round(0.15 * 0.85 ** k, 9) AS pr, round(exp(-5.0) * 5.0 ** k / gamma(k + 1), 9) AS hk FROM range(0, 20) t(k)")
@@ -570,9 +700,86 @@ def cis_cover_compat(spark, d):
 
 @query()
 def hdemon_levels(spark, d):
-    return demon.hdemon(nation_trade(spark, d, 2), 0.5, 1, 4, 2)
+    return demon.hdemon(components.cut(nation_trade(spark, d)))
 
 
-@query()
+def _chirikov_sql(nx: int, steps: int, k: float, eta: float, samples: int) -> str:
+    draw = lambda salt: f"((((((id + {salt}) % 2147483647) * 48271 + 1) % 2147483647) * ((((id + {salt}) % 2147483647) * 48271 + 1) % 2147483647) % 2147483647) * 69621 % 2147483647)::DOUBLE / 2147483647"
+    out = [f"a0 AS MATERIALIZED (SELECT id % {nx * nx} AS src, (id % {nx * nx} % {nx} + {draw(1)}) / {nx} AS x, (id % {nx * nx} // {nx} + {draw(7919)}) / {nx} AS p FROM (SELECT unnest(range({nx * nx * samples}))::BIGINT AS id))"]
+    two_pi = 2 * math.pi
+    for j in range(steps):
+        out.append(f"b{j} AS (SELECT src, x, {eta!r} * p + {k / two_pi!r} * sin({two_pi!r} * x) AS q FROM a{j}), c{j} AS (SELECT src, x, q - floor(q) AS p FROM b{j}), a{j + 1} AS MATERIALIZED (SELECT src, x + p - floor(x + p) AS x, p FROM c{j})")
+    return "WITH " + ", ".join(out) + f" SELECT src, (least(floor(x * {nx}), {nx - 1}) + {nx} * least(floor(p * {nx}), {nx - 1}))::BIGINT AS dst, count(*)::DOUBLE AS w FROM a{steps} GROUP BY 1, 2"
+
+
+@query(_chirikov_sql(32, 10, 0.22, 0.99, 20))
 def chirikov_edges(spark, d):
     return sources.chirikov(spark, 32, 32, 10, 0.22, 0.99, 20)
+
+
+@query("SELECT o_custkey AS src, o_orderkey AS dst, 1.0::DOUBLE AS w FROM orders")
+def comma_edge_parse(spark, d):
+    sep = F.when(F.col("o_orderkey") % 2 == 0, ",").otherwise(" , ")
+    return sources.plain_edges(table(spark, d, "orders").select(F.concat("o_custkey", sep, "o_orderkey").alias("value")))
+
+
+def _names(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("idx"), (F.col("n_nationkey").cast("bigint") * 7 + 100).alias("name"))
+
+
+@query("SELECT o_orderkey AS comm_id, unnest([o_custkey % 25, o_orderkey % 25])::BIGINT AS member FROM orders WHERE o_orderkey % 4 <> 0")
+def result_list_parse(spark, d):
+    o = table(spark, d, "orders")
+    text = F.concat_ws(",", *(F.concat(((F.col(c) % 25) * 7 + 100).cast("string"), F.lit("("), (F.col(c) % 25).cast("string"), F.lit(")")) for c in ("o_custkey", "o_orderkey")))
+    lines = o.select(F.when(F.col("o_orderkey") % 4 == 0, F.lit("Reduce Enabled")).otherwise(F.concat(text, F.lit(","))).alias("value"), F.col("o_orderkey").alias("pos"))
+    head = spark.createDataFrame([("12(3),", -2), ("comm_size:9", -1)], "value string, pos long")
+    return sources.member_lists(head.unionByName(lines), _names(spark, d), "pos")
+
+
+@query("SELECT count(DISTINCT o_custkey)::BIGINT AS comm_size, 12.5::DOUBLE AS time_ms FROM orders")
+def log_field_parse(spark, d):
+    n = table(spark, d, "orders").select(F.countDistinct("o_custkey").alias("n"))
+    rows = n.select(F.explode(F.array(F.concat(F.lit("comm size:"), "n"), F.lit("whole execution time:12.5 ms"), F.lit("name result:[[1]]"))).alias("value"))
+    return sources.log_fields(rows)
+
+
+_NAMES = "nm AS (SELECT n_nationkey::BIGINT AS idx, n_nationkey::BIGINT * 7 + 100 AS name FROM nation)"
+
+
+@query(f"WITH {REGIONS}, {_NAMES} SELECT comm_id, name AS member FROM c JOIN nm ON idx = member")
+def decode_cover(spark, d):
+    return graph.decode(region_cover(spark, d), _names(spark, d))
+
+
+@query(f"WITH {trade_sql()}, {_NAMES} SELECT x.name AS src, y.name AS dst, w FROM e JOIN nm x ON x.idx = src JOIN nm y ON y.idx = dst")
+def encode_network(spark, d):
+    names = _names(spark, d)
+    return graph.encode_network(nation_trade(spark, d), names.select(F.col("name").alias("idx"), F.col("idx").alias("name")))
+
+
+@query(f"""WITH {REGIONS}, {_NAMES} SELECT 'comm size:' || count(DISTINCT comm_id) AS value FROM c UNION ALL SELECT 'idx result:[[' || string_agg(CAST(member AS VARCHAR), ', ' ORDER BY member) || ']]' FROM c GROUP BY comm_id
+UNION ALL SELECT 'name result:[[' || string_agg(CAST(name AS VARCHAR), ', ' ORDER BY name) || ']]' FROM c JOIN nm ON idx = member GROUP BY comm_id UNION ALL SELECT 'whole execution time:3 ms'""")
+def result_write(spark, d):
+    return sources.result_lines(region_cover(spark, d), _names(spark, d), 3)
+
+
+@query(f"WITH {REGIONS}, {_NAMES} SELECT string_agg(name || '(' || idx || '),', '' ORDER BY idx) AS value FROM c JOIN nm ON idx = member GROUP BY comm_id")
+def named_write(spark, d):
+    return sources.named_lines(region_cover(spark, d), _names(spark, d))
+
+
+@query(f"WITH {REGIONS} SELECT comm_id || chr(9) || '[' || string_agg(CAST(member AS VARCHAR), ', ' ORDER BY member) || ']' AS value, 1 AS level FROM c GROUP BY comm_id")
+def numbered_write(spark, d):
+    return sources.numbered_lines(region_cover(spark, d).withColumn("level", F.lit(1)))
+
+
+@query(f"WITH {REGIONS}, s AS (SELECT list(member ORDER BY member) AS m FROM c GROUP BY comm_id) SELECT '[' || array_to_string(m, ', ') || ']' AS listed, '{{' || array_to_string(m, ', ') || '}}' AS a_set, '(' || array_to_string(m, ', ') || ')' AS a_tuple FROM s")
+def pretty_print(spark, d):
+    m = region_cover(spark, d).groupBy("comm_id").agg(F.array_sort(F.collect_set("member")).alias("m"))
+    return m.select(sources.pretty(F.col("m")).alias("listed"), sources.pretty(F.col("m"), "set").alias("a_set"), sources.pretty(F.col("m"), "tuple").alias("a_tuple"))
+
+
+@query(f"""WITH {trade_sql()}, {REGIONS}, {_STATS}, {_ENTITIES} SELECT en.comm_id, v, round({_density_sql('(n - 1)', '(w_in - ui)', '(w_out - uo + ui)', 0.0)} - {_density_sql('n', 'w_in', 'w_out', 0.0)}, 6) AS gain
+FROM en JOIN st ON st.comm_id = en.comm_id JOIN c ON c.comm_id = en.comm_id AND c.member = v""")
+def member_loss(spark, d):
+    return cis.member_loss(nation_trade(spark, d), region_cover(spark, d)).withColumn("gain", F.round("gain", 6))

@@ -13,20 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def top_partners(edges: DataFrame, k: int) -> DataFrame:
-    """Edges that are among the ``k`` heaviest of either end (ties by id), both directions."""
-    w = Window.partitionBy("src").orderBy(F.desc("w"), "dst")
-    kept = symmetrize(edges).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-    return symmetrize(kept.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").distinct())
-
-
-def nation_trade(spark: SparkSession, sf_dir: str, top: int = 4) -> DataFrame:
-    """Nations joined by order lines from a supplier's to a customer's nation; w counts lines."""
+def nation_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations joined by order lines from a supplier's to a customer's nation, both directions; w counts lines."""
     line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
     orders, customer, supplier = (table(spark, sf_dir, n) for n in ("orders", "customer", "supplier"))
     pairs = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).where("c_nationkey <> s_nationkey")
     a, b = F.col("c_nationkey").cast("bigint"), F.col("s_nationkey").cast("bigint")
-    return top_partners(pairs.groupBy(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).agg(F.sum("n").cast("double").alias("w")), top)
+    return symmetrize(pairs.groupBy(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).agg(F.sum("n").cast("double").alias("w")))
 
 
 def part_copurchase(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
@@ -51,6 +44,7 @@ def region_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping: the customers' nations that each supplier nation sells to most, with itself."""
-    e = nation_trade(spark, sf_dir, 2)
-    return e.select(F.col("src").alias("comm_id"), F.col("dst").alias("member")).unionByName(e.select(F.col("src").alias("comm_id"), F.col("src").alias("member"))).distinct()
+    """Overlapping: each nation with those it trades more with than with its average partner."""
+    e = nation_trade(spark, sf_dir).withColumn("mean", F.avg("w").over(Window.partitionBy("src")))
+    near = e.select(F.col("src").alias("comm_id"), F.explode(F.array("src", F.when(F.col("w") > F.col("mean"), F.col("dst")))).alias("member"))
+    return near.where("member is not null").distinct()

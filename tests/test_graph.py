@@ -1,12 +1,12 @@
 """Graph operators on small graphs with known results."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from graphloam import functions, sources
 from graphloam.operators import cis, components, demon, diffusion, graph, merge, metrics, seedwise
-from graphloam.streaming import stream_degrees
 from pyspark.sql import functions as F
 
 DEMO = "0 1 3|1 2 1|2 3 4|3 4 4|0 5 3|2 7 4|4 7 4|4 8 1"
@@ -278,11 +278,149 @@ def test_parsers_take_malformed_lines(spark):
     assert sorted(r.name for r in names.collect()) == ["a", "b", "c", "d", "e"]
 
 
-def test_streamed_degrees(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (4, 4, 1.0)], "src long, dst long, w double")
-    rows.write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
-    q = stream_degrees(stream).writeStream.outputMode("complete").format("memory").queryName("deg").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(map(tuple, spark.table("deg").collect())) == [(1, 1, 1.0), (2, 2, 3.0), (3, 1, 2.0)]
+def plain_fold(sets, mode, eps=0.25, min_size=1, compat=False, batches=None):
+    """The ordered folds as loops over lists."""
+    out, batches = [], batches or [0] * len(sets)
+    if mode == "last":
+        for new in map(frozenset, sets):
+            if len(new) <= min_size or new in out:
+                continue
+            old = next((o for o in out if o & new and len(o & new) / min(len(o), len(new)) >= eps), None)
+            if old is not None:
+                out.remove(old)
+            if old is None or (old | new) not in out:
+                out.append(new if old is None else old | new)
+        return sorted(sorted(o) for o in out)
+    bar, first = (1 - 1e-5 if mode == "containment" else eps), None
+    for new, b in zip(map(set, sets), batches, strict=True):
+        if compat and first is None and len(new) > min_size:
+            first = b
+        if compat and b == first:
+            if len(new) > min_size:
+                out.append(set(new))
+            continue
+        missed = merged = False
+        for old in out:
+            if len(old & new) / min(len(old), len(new)) > bar:
+                old |= new
+                merged = True
+                break
+            missed = True
+        if (not merged or (compat and missed)) and (mode == "containment" or len(new) > min_size):
+            out.append(set(new))
+    return sorted(sorted(o) for o in out)
+
+
+def test_ordered_folds_match_loops(spark):
+    rng = random.Random(5)
+    sets, batches = [], []
+    for k in range(90):
+        low = rng.choice([0, 100, 200])
+        sets.append(sorted({low + rng.randrange(30) for _ in range(rng.randrange(1, 8))}))
+        batches.append(k // 3)
+    rows = spark.createDataFrame([(k, s, b) for k, (s, b) in enumerate(zip(sets, batches, strict=True))], "pos long, m array<long>, batch long")
+    for mode, eps, least, compat in (("containment", 0, 1, False), ("epsilon", 0.25, 1, False), ("epsilon", 0.6, 2, False), ("epsilon", 0.6, 2, True), ("last", 0.5, 2, False)):
+        want = plain_fold(sets, mode, eps, least, compat, batches)
+        assert sorted(merge.fold(sets, mode, eps, least, compat, batches)) == want
+        got = {}
+        for r in merge.ordered_fold(rows, mode, eps, least, compat).collect():
+            got.setdefault(r.comm_id, []).append(r.member)
+        assert sorted(sorted(m) for m in got.values()) == want and len(want) > 1
+    left, right = [[1, 2, 3], [4, 5]], [[2, 3], [4, 5, 6], [9]]
+    both = sorted(merge.fold(right, start=left))
+    assert both == [[1, 2, 3], [4, 5, 6], [9]]
+    assert sorted(map(sorted, _lists(merge.reduce_covers(cover_of(spark, left), cover_of(spark, right))))) == both
+
+
+def _lists(cover):
+    out = {}
+    for r in cover.collect():
+        out.setdefault(r.comm_id, []).append(r.member)
+    return list(out.values())
+
+
+def test_drivers_fold_in_order(edges):
+    e = edges(DEMO)
+    grown = {}
+    for r in cis.expand_seeds(e, compat=True).collect():
+        grown.setdefault(r.seed, []).append(r.member)
+    assert sorted(map(sorted, _lists(cis.detect_cis(e, compat=True)))) == [[0, 1, 5], [1, 2, 3, 4, 7, 8]]
+    local = {}
+    for r in demon.local_communities(e, 9).collect():
+        local.setdefault((r.ego, r.label), []).append(r.member)
+    keys = sorted(local)
+    for kind, compat in (("epsilon", False), ("epsilon", True), ("last", False)):
+        want = plain_fold([local[k] for k in keys], kind, 0.25, 1, compat, [k[0] for k in keys])
+        assert sorted(map(sorted, _lists(demon.detect_demon(e, 0.25, 1, 10, fold=kind, compat=compat)))) == want
+
+
+def test_synchronous_pagerank_settles_near_the_exact_push(spark, edges):
+    e = edges(CLUSTERS)
+    seeds = spark.createDataFrame([(0, 0), (9, 9), (9, 13), (77, 77)], "seed long, v long")
+    got = {(r.seed, r.v): (r.x, r.converged) for r in diffusion.ppr_vector(e, seeds, 0.9, 100).collect()}
+    exact = {(r.seed, r.v): r.x for r in seedwise.ppr_vector_exact(e, seeds, 0.9, 100).collect()}
+    deg = {r.v: r.deg for r in graph.degrees(e).collect()}
+    assert all(c for _, c in got.values()) and got[77, 77] == (1.0, True) and exact[77, 77] == 1.0
+    for key in set(got) | set(exact):  # both leave at most 1e-3 * degree at every vertex
+        assert abs(got.get(key, (0.0,))[0] - exact.get(key, 0.0)) <= 27 * 1e-3 * deg.get(key[1], 1)
+    for seed in (0, 9):
+        left = 1 - sum(x for (s, _), (x, _) in got.items() if s == seed)
+        assert 0 <= left <= 1e-3 * sum(deg.values())
+    short = diffusion.ppr_vector(e, seeds.where("seed = 0"), 0.99, 100, rounds=3).collect()
+    assert short and not any(r.converged for r in short)
+
+
+def test_lazy_walk_and_grids(spark, edges):
+    e = edges(CLUSTERS)
+    seeds = spark.createDataFrame([(0, 0)], "seed long, v long")
+    g = seedwise.adjacency(*zip(*map(tuple, e.collect()), strict=True))
+    x, steps = seedwise.lazy_push(g, {0: 1.0}, 0.9, 1e-4)
+    assert steps > 10 and 1 - 1e-4 * sum(map(len, g.values())) <= sum(x.values()) <= 1
+    one = {r.v: r.x for r in seedwise.lazy_vector_exact(e, seeds, 0.9, 1e-4).collect()}
+    assert one == pytest.approx(x)
+    best = diffusion.best_of_grid(e, seeds, diffusion.PPR_GRID, "ppr", neighbourhood=True, exact=True).first()
+    single = [diffusion.sweep(e, seedwise.ppr_vector_exact(e, graph.ego_seeds(e, spark.createDataFrame([(0,)], "v long")), 0.99, p).select("seed", "v", "x"))[0].first().conductance for p in diffusion.PPR_GRID]
+    assert best.conductance == min(single) and best.param == single.index(min(single))
+
+
+def test_evaluation_of_true_communities(spark, edges):
+    e = edges(CLUSTERS)
+    truth = spark.createDataFrame([(1, v) for v in range(9)] + [(2, v) for v in range(9, 18)], "truth_id long, member long")
+    got = {r.truth_id: r for r in metrics.evaluate(e, truth, lambda g, s: diffusion.grow_once(g, s, 5.0, 1e-2)).collect()}
+    assert got[1].f1 == 1.0 and got[1].size == 9 and got[1].conductance == pytest.approx(2 / 34)
+    mean = metrics.means(spark.createDataFrame([(r.f1, float(r.size)) for r in got.values()], "f1 double, size double"), "f1", "size").first()
+    assert mean.mean_f1 == pytest.approx(sum(r.f1 for r in got.values()) / 2)
+
+
+def test_files_logs_and_parameters(spark, tmp_path):
+    (tmp_path / "a.smat").write_text("3 3 4\n0 1 2\n0 1 3\n1 2 1\n2 2 9\n")
+    (tmp_path / "b.smat").write_text("0 1 2\n1 2 1\n")
+    (tmp_path / "b.smat.info").write_text("3 4\n")
+    e, size = sources.read_smat(spark, str(tmp_path / "a.smat"), pattern=False)
+    assert size == (3, 3) and sorted(map(tuple, e.collect())) == [(0, 1, 5.0), (1, 2, 1.0), (2, 2, 9.0)]
+    e, size = sources.read_smat(spark, str(tmp_path / "b.smat"))
+    assert size == (3, 4) and sorted(map(tuple, e.collect())) == [(0, 1, 1.0), (1, 2, 1.0)]
+    names = spark.createDataFrame([(0, 10), (1, 11), (2, 12)], "idx long, name long")
+    cover = cover_of(spark, [[0, 1], [2]])
+    lines = sources.result_lines(cover, names, 1.5)
+    back = sources.result_log(lines)
+    assert sorted(map(tuple, back.collect())) == [(0, 10), (0, 11), (1, 12)]
+    assert tuple(sources.log_fields(lines).first()) == (2, 1.5)
+    assert sorted(r.value for r in sources.named_lines(cover, names).collect()) == ["10(0),11(1),", "12(2),"]
+    got = sources.parameters(["-n", "3", "-name", "+two", "words+", "-x", "-1.5", "-flag", "-ok", "yes"], {"n": 1, "ok": False, "x": 0.0, "left": 7})
+    assert got == {"n": 3, "name": "two words", "x": -1.5, "flag": True, "ok": True, "left": 7}
+
+
+def test_solvers_agree(spark):
+    a, b = [[10.0, -1, 2, 0], [-1, 11, -1, 3], [2, -1, 10, -1], [0, 3, -1, 8]], [6.0, 25, -11, 15]
+    x = functions.gauss_seidel(a, b)
+    assert x == pytest.approx([1, 2, -1, 1])
+    m = spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(a) for j, v in enumerate(row) if v], "i long, j long, a double")
+    got = functions.jacobi(m, spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "i long, b double"), 60, 1e-10)
+    assert [r.x for r in sorted(got.collect())] == pytest.approx([1, 2, -1, 1])
+
+
+def test_isolated_seeds_have_no_density(spark, edges):
+    assert cis._dense(1, 0.0, 0.0, 0.0) == 0.0
+    e = spark.createDataFrame([(1, 1)], "comm_id long, member long")
+    assert cis.cover_density(edges("5 6 1"), e).first().density == 0.0
