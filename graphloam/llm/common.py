@@ -16,7 +16,7 @@ from ..operators.components import cut
 BROADCAST_ROWS = 1_000_000
 
 #: Characters of text that a Python worker handles at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 #: Rows that it handles at once.
 CHUNK_ROWS = 1024
 
