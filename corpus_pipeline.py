@@ -9,28 +9,39 @@ from graphloam.llm import common, decontaminate, line_dedup, packing, passage_de
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts have no votes; repeated rows go or stay alike; without labels to learn from, and in an empty
+    table, nothing goes."""
     return toxicity.drop_toxic(docs, common.read_table(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated runs of three lines, then of fifty words, are cut out; every document stays, n_chars follows its text."""
+    """Later occurrences of repeated runs of three lines, then of fifty words, are cut out; every document stays, n_chars follows its text.
+
+    A null text stays null (n_chars null), a text of which nothing is left becomes empty; identical rows are one document."""
     out = passage_dedup.passage_dedup(common.cut(line_dedup.line_dedup(docs)))
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+    """One document of each SimHash group stays: that of the smallest doc_id, null ids last.
+
+    Null and empty texts are one group; repeated rows stay once; an empty table stays empty."""
     return simhash.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, and all their repeated rows.
+
+    Null and empty texts and items match nothing; without a benchmark nothing goes."""
     return decontaminate.decontaminate(docs, common.read_table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is tokenised and packed into sequences."""
+    """What is left is tokenised and packed into sequences; columns are those of ``packing.pack``.
+
+    A null or empty text is one id; repeated rows and null doc_ids are packed like others; no rows give no sequences."""
     return packing.pack(docs, queries.tokenizer_path())
 
 
