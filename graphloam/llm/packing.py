@@ -23,6 +23,8 @@ GROUP = 4096
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 5, 8
 #: How far the orders in which first solutions place their pieces are from falling lengths.
 NOISE = 0.5
+#: Tasks that islands are spread over, at most; there is one for each island up to there.
+TASKS = 20_000
 #: Sequences filled less than this are opened again and their pieces packed anew with those of other groups.
 OPEN_BELOW = 0.97
 #: Words whose ids a worker keeps.
@@ -307,12 +309,14 @@ def _islands(items: DataFrame, capacity: int, group: int, salt: int) -> DataFram
     packed = dealt.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("key", "length"))).alias("x"))
     packed = cut(packed.select("grp", F.col("x.key").alias("keys"), F.col("x.length").alias("lengths")))
     kind = "grp long, island int, elite array<int>, bins long, born int, begun long"
-    isles = packed.select("grp", "lengths", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island")).repartition("grp", "island")
+    # by number: islands are few bytes but much work, and partitions that are merged by bytes would breed one after another
+    tasks = min(groups * ISLANDS, TASKS)
+    isles = packed.select("grp", "lengths", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island")).repartition(tasks, "grp", "island")
     state = cut(isles.mapInArrow(_evolve(capacity, 0), kind))
     for epoch in range(1, EPOCHS):  # each island's elite goes on to the next island of its group
         guests = state.select("grp", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("elite").alias("guest"), F.col("born").alias("guest_born"))
         both = state.join(guests, ["grp", "island"]).join(packed.select("grp", "lengths"), "grp")
-        state = cut(both.select("grp", "island", "lengths", "elite", "guest", "born", "guest_born", "begun").mapInArrow(_evolve(capacity, epoch), kind))
+        state = cut(both.select("grp", "island", "lengths", "elite", "guest", "born", "guest_born", "begun").repartition(tasks, "grp", "island").mapInArrow(_evolve(capacity, epoch), kind))
     best = state.groupBy("grp").agg(F.min_by(F.struct("elite", "born"), F.struct("bins", "island")).alias("b"))
     rows = packed.join(best, "grp").select("grp", "b.born", F.explode(F.arrays_zip("keys", "lengths", F.col("b.elite").alias("elite"))).alias("r"))
     return rows.select(F.col("r.keys").alias("key"), F.col("r.lengths").alias("length"), "grp", F.col("r.elite").alias("bin"), "born")
