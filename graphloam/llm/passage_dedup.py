@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, mix, text_batches
 from .decontaminate import MAP_BITS, _map_of
-from .line_dedup import KEYS, _keyed
+from .line_dedup import KEYS, _keyed, line_dedup_report
 from .words import Texts, powers
 
 WORDS = 50
@@ -192,7 +192,10 @@ def passage_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return marked.mapInArrow(run, docs.schema)
 
 
-def passage_dedup_report(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_chars, n_removed, text) of every row of ``docs``; see ``passage_dedup``."""
-    out = passage_dedup(docs.select("doc_id", "text", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars")), words)
-    return out.select("doc_id", "n_chars", (F.col("n_chars") - F.coalesce(F.char_length("text"), F.lit(0))).alias("n_removed"), "text")
+def dedup_report(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_lines, n_removed, n_cut, text) of every row of ``docs``: ``line_dedup``, then ``passage_dedup`` of what it left.
+
+    n_lines and n_removed count lines before and cut by the first, n_cut the characters that the second took."""
+    lines = cut(line_dedup_report(docs)).withColumn("n_cut", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    out = passage_dedup(lines, words)
+    return out.withColumn("n_cut", F.col("n_cut") - F.coalesce(F.char_length("text"), F.lit(0)))
