@@ -4,22 +4,30 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's ``spark.checkpoint.dir`` and go on from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """This session's folder in the cluster's ``spark.checkpoint.dir``.
 
     Without that setting a local session, which has no other machines, gets a temporary folder; on a cluster it is an
-    error.  Folders of checkpoints that nothing refers to any more are removed if the session was started with
-    ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    error."""
+    found = spark.sparkContext._jsc.sc().getCheckpointDir
+    if not found().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return found().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to ``checkpoint_folder`` and go on from there.
+
+    Folders of checkpoints that nothing refers to any more are removed if the session was started with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
