@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import cut
+from ..operators.components import checkpoint_folder, cut
 
 #: Rows of (id, flag), or positions of lines, that a broadcast may hold: about 100 MB as a hash relation.
 BROADCAST_ROWS = 1_000_000
@@ -25,6 +26,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut`` for whole texts: a Parquet table in the same folder, which is compressed and read by column.
+
+    It stays until the folder goes."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if ``df`` is counted to have at most ``rows`` rows; beyond that Spark shuffles it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

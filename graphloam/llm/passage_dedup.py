@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, mix, text_batches
+from .common import BROADCAST_ROWS, cut, mix, text_batches, written
 from .decontaminate import MAP_BITS, _map_of
 from .line_dedup import KEYS, _keyed, line_dedup_report
 from .words import Texts, powers
@@ -196,6 +196,6 @@ def dedup_report(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_cut, text) of every row of ``docs``: ``line_dedup``, then ``passage_dedup`` of what it left.
 
     n_lines and n_removed count lines before and cut by the first, n_cut the characters that the second took."""
-    lines = cut(line_dedup_report(docs)).withColumn("n_cut", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    lines = written(line_dedup_report(docs)).withColumn("n_cut", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
     out = passage_dedup(lines, words)
     return out.withColumn("n_cut", F.col("n_cut") - F.coalesce(F.char_length("text"), F.lit(0)))
