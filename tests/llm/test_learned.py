@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 from graphloam.llm import language, quality, queries, rules, toxicity
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.1"
 
@@ -248,3 +249,27 @@ def test_language_models_of_any_number(langs):
     x = np.eye(len(langs), language.DIM, dtype=np.float32)
     m = language.Model(np.repeat(x, 5, 0), [v for v in langs for _ in range(5)])
     assert m.predict(x)[0].tolist() == langs
+
+
+def test_all_labelled_rows_calibrate_the_rules(spark):
+    """Bad labels on none of the first 4,000 ids by hash: rules from a sample of that size knew no bad row."""
+    ids = spark.range(5000).selectExpr("id AS doc_id")
+    last = ids.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").toPandas().doc_id[4000:].tolist()
+    bad = set(last[::20])
+    rng = np.random.default_rng(0)
+    text = {i: " ".join(("#%d|" if i in bad else "w%d") % k for k in rng.integers(0, 10000, 60)) for i in range(5000)}
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    labels = ids.selectExpr("doc_id").withColumn("quality", F.when(F.col("doc_id").isin(*bad), 0).otherwise(1))
+    got = rules.apply_rules(docs, labels).toPandas()
+    assert len(got) == 5000 and not got.base_failed.any()
+    assert not got[got.doc_id.isin(bad)].kept.any() and got[~got.doc_id.isin(bad)].kept.mean() > 0.99
+
+
+def test_leaves_of_the_forest_count_all_rows(spark):
+    x = np.random.default_rng(1).normal(0, 1, (3000, 8))
+    rows = spark.createDataFrame([(k, 60, False, bytearray(r.tobytes())) for k, r in enumerate(x)], "doc_id long, n_words long, base_failed boolean, x binary")
+    forest, _ = rules.train(rows, spark.createDataFrame([], "doc_id long, quality int"))
+    n = np.bincount(forest.leaves(x).ravel(), minlength=len(forest.feature))
+    assert (n[forest.feature >= 0] == 0).all() and n.sum() == 3000 * rules.TREES
+    want = forest.depth + rules._average(n * 256 / 3000)
+    assert np.allclose(forest.length[forest.feature < 0], want[forest.feature < 0])
