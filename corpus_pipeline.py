@@ -20,7 +20,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Later occurrences of repeated runs of three lines, then of fifty words, are cut out; every document stays, n_chars follows its text.
 
     A null text stays null (n_chars null), a text of which nothing is left becomes empty; identical rows are one document."""
-    out = passage_dedup.passage_dedup(common.cut(line_dedup.line_dedup(docs)))
+    lines = common.cut(line_dedup.line_dedup(docs))
+    common.release(spark)
+    out = passage_dedup.passage_dedup(lines)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

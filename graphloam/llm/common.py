@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,14 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage: then Spark removes shuffle files, and checkpoints, that nothing refers to any more.
+
+    Without it they stay on the disks until the driver runs short of memory, which big data don't bring about."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
@@ -55,14 +64,14 @@ def labelled_texts(docs: DataFrame, labelled: DataFrame, n: int) -> DataFrame:
     return taken.groupBy("doc_id", "y").agg(F.max("text").alias("text"))
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with their texts (null: empty), each of about CHUNK_CHARS characters or one row."""
+def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with their texts (null: empty), each of about ``chars`` characters or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
         size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = (np.cumsum(size) - size) // CHUNK_CHARS
+        part = (np.cumsum(size) - size) // chars
         cuts = np.flatnonzero(np.diff(part) | np.diff(np.arange(len(size)) // CHUNK_ROWS)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             piece = batch.slice(a, b - a)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut
+from .common import BROADCAST_ROWS, cut, release
 
 LINES = 3
 KEYS = ["__ld_id", "__ld_null", "__ld_th"]
@@ -20,9 +20,11 @@ def _marked(docs: DataFrame, lines: int) -> DataFrame:
     keyed = _keyed(docs)
     split = F.split("text", "\n", -1)
     texts = keyed.select(*KEYS, split.alias("ls")).where("ls is not null")
-    window = lambda i: F.slice(F.col("ls"), i + 1, lines)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("ls") - lines, F.lit(0)))
-    each = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(window(i)).alias("h1"), F.xxhash64(F.lit(lines), window(i)).alias("h2"), F.array_join(window(i), " ").rlike(r"[^\x20\x09-\x0D]").alias("words")))
+    of_line = {"a": lambda x: F.xxhash64(x), "b": lambda x: F.xxhash64(F.lit(lines), x), "ok": lambda x: F.btrim(x, F.lit(" \t\n\v\f\r")) != ""}
+    texts = texts.select(*KEYS, *(F.transform("ls", f).alias(k) for k, f in of_line.items()))
+    window = lambda k, i: [F.get(F.col(k), i + n) for n in range(lines)]  # noqa: E731  null beyond the last line, which hashes leave out
+    starts = F.sequence(F.lit(0), F.greatest(F.size("a") - lines, F.lit(0)))
+    each = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(*window("a", i)).alias("h1"), F.xxhash64(*window("b", i)).alias("h2"), F.coalesce(*(F.when(x, x) for x in window("ok", i)), F.lit(False)).alias("words")))
     seen = cut(texts.select(*KEYS, F.explode(F.filter(each, lambda w: w.words)).alias("w")).select(*KEYS, "w.h1", "w.h2", "w.pos"))
 
     at = F.struct(F.col("__ld_null"), F.col("__ld_id"), F.col("__ld_th"), F.col("pos"))  # rows without an id come last
@@ -31,6 +33,8 @@ def _marked(docs: DataFrame, lines: int) -> DataFrame:
     covered = later.groupBy(*KEYS).agg(F.collect_set("pos").alias("p"))
     covered = covered.select(*KEYS, F.array_distinct(F.flatten(F.transform("p", lambda i: F.sequence(i, i + (lines - 1))))).alias("__ld_cut"))
     covered = cut(covered)
+    del seen, again, later
+    release(docs.sparkSession)
     if (covered.agg(F.sum(F.size("__ld_cut"))).first()[0] or 0) <= BROADCAST_ROWS:  # so many positions: texts stay in place
         covered = F.broadcast(covered)
     return keyed.join(covered, KEYS, "left").withColumn("__ld_lines", split)

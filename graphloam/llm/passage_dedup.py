@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, mix, text_batches
+from .common import BROADCAST_ROWS, cut, mix, release, text_batches
 from .decontaminate import MAP_BITS, _map_of
 from .line_dedup import KEYS, _keyed, line_dedup_report
-from .words import Texts, powers
+from .words import Texts, prefix_sums
 
 WORDS = 50
+#: Characters that a worker hashes at once: its arrays then stay in the processor's cache.
+CHUNK_CHARS = 250_000
 #: Makes a second code of each word, for the second half of a hash.
 SALT = np.uint64(0x5851F42D4C957F2D)
 _KEYS = "__ld_id long, __ld_null boolean, __ld_th long"
@@ -22,9 +24,7 @@ class Sums:
     """Hashes of any ranges of an array of codes."""
 
     def __init__(self, code: np.ndarray):
-        up, self.down = powers(len(code) + 1)
-        with np.errstate(over="ignore"):
-            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * up[: len(code)], dtype=np.uint64)))
+        self.sums, self.down = prefix_sums(code)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -45,12 +45,22 @@ def _coded(texts: list[str], words: int):
     return t, code, np.flatnonzero(t.own[:n] == t.own[len(code) - n :])
 
 
+def _first_lowest(x: np.ndarray, width: int) -> np.ndarray:
+    """Where each run of ``width`` numbers has its smallest (the first one): from runs of 1, 2, 4 ... numbers."""
+    at, size = np.arange(len(x)), 1
+    while size < width:
+        step = min(size, width - size)
+        left, right = at[:-step], at[step:]
+        at = np.where(x[right] < x[left], right, left)
+        size += step
+    return at
+
+
 def _lowest(code: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of half as many words as a window has, and where each window has its smallest (the first one)."""
     part = words // 2
     g = _rolled(code, part)
-    low = np.lib.stride_tricks.sliding_window_view(g, words - part + 1).argmin(1) if len(at) else at
-    return g, low[at] + at
+    return g, _first_lowest(g, words - part + 1)[at] if len(at) else at
 
 
 def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -62,7 +72,7 @@ def _minima(words: int):
     """keys, text -> (wh): the smallest hashes of all windows, one for each place where they stand."""
 
     def run(batches):
-        for _, texts in text_batches(batches):
+        for _, texts in text_batches(batches, chars=CHUNK_CHARS):
             _, code, at = _coded(texts, words)
             g, low = _lowest(code, at, words)
             yield pa.RecordBatch.from_arrays([pa.array(g[np.unique(low)].view(np.int64))], names=["wh"])
@@ -75,7 +85,7 @@ def _spans(words: int, seen):
 
     def run(batches):
         bits = np.frombuffer(seen.value, np.uint8)
-        for piece, texts in text_batches(batches):
+        for piece, texts in text_batches(batches, chars=CHUNK_CHARS):
             t, code, at = _coded(texts, words)
             g, low = _lowest(code, at, words)
             first = np.flatnonzero(np.diff(low, prepend=-1))
@@ -92,12 +102,13 @@ def _spans(words: int, seen):
     return run
 
 
-def _windows(words: int, seen):
-    """keys, text -> (keys, h1, h2, pos): the windows whose smallest hash is in the map ``seen``."""
+def _windows(words: int, seen, within):
+    """keys, text -> (keys, h1, h2, pos): the windows whose smallest hash is in the map ``seen``; texts whose hash isn't in ``within`` have none."""
 
     def run(batches):
-        bits = np.frombuffer(seen.value, np.uint8)
-        for piece, texts in text_batches(batches):
+        bits, some = np.frombuffer(seen.value, np.uint8), np.frombuffer(within.value, np.uint8)
+        batches = (b.filter(pa.array(_held(some, b.column(2).to_numpy().view(np.uint64)))) for b in batches)
+        for piece, texts in text_batches(batches, chars=CHUNK_CHARS):
             t, code, at = _coded(texts, words)
             g, low = _lowest(code, at, words)
             at = at[_held(bits, g[low])]
@@ -109,21 +120,29 @@ def _windows(words: int, seen):
     return run
 
 
+def merge_spans(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans a to b - 1 of each row, merged where they overlap or touch, in order."""
+    order = np.lexsort((a, row))
+    row, a = row[order], a[order]
+    reach = np.maximum.accumulate((row << 32) + b[order])  # of a row's spans so far; no earlier row's is larger
+    first = np.ones(len(a), bool)
+    first[1:] = ((row << 32) + a)[1:] > reach[:-1]
+    last = np.append(np.flatnonzero(first), len(a))[1:] - 1
+    return row[first], a[first], reach[last] & 0xFFFFFFFF
+
+
 def _merged(words: int):
     """keys, spans -> (keys, __ld_cut): the words a to b - 1 that the windows of the spans cover, merged."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for spans in batch.column(3).to_pylist():
-                now = []
-                for a, b in sorted((x["a"], x["b"] + words) for x in spans):
-                    if now and a <= now[-1]["b"]:
-                        now[-1]["b"] = max(now[-1]["b"], b)
-                    else:
-                        now.append({"a": a, "b": b})
-                out.append(now)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=[*KEYS, "__ld_cut"])
+            col = batch.column(3)
+            size = np.diff(col.offsets.to_numpy())
+            a, b = (x.to_numpy().astype(np.int64) for x in col.flatten().flatten())
+            row, a, b = merge_spans(np.repeat(np.arange(len(size)), size), a, b + words)
+            ends = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["a", "b"])
+            edges = np.searchsorted(row, np.arange(len(size) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(edges), ends)], names=[*KEYS, "__ld_cut"])
 
     return run
 
@@ -154,7 +173,7 @@ def passage_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Windows are compared by 128 bits of hash with all that can be equal.  Equal windows have the same smallest hash
     among their runs of half as many words, so a bit map of the smallest hashes that stand at two places rules out most
     text.  Neighbouring windows that share one are a span: where all spans of a smallest hash are equal a span is one
-    row, else each window is.  The first occurrence is the one with the smallest doc_id (null last), then text hash,
+    row, else each window is; a bit map of texts says which hold such spans.  The first occurrence is the one with the smallest doc_id (null last), then text hash,
     then position; what later ones cover is merged and removed.  Null texts stay null, rows are never dropped, identical
     rows are one document.  All columns come back, ``text`` changed.
     """
@@ -167,7 +186,12 @@ def passage_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     kinds = cut(spans.groupBy("wh").agg(F.count("*").alias("n"), F.min("sh").alias("low"), F.max("sh").alias("high"), F.min(at("a")).alias("first")).where("n > 1"))
     whole = spans.join(kinds.where("low = high").select("wh", "first"), "wh").where(at("a") != F.col("first")).select(*KEYS, "a", "b")
 
-    seen = cut(texts.mapInArrow(_windows(words, _map_of(kinds.where("low <> high"))), f"{_KEYS}, h1 long, h2 long, pos int"))
+    mixed = kinds.where("low <> high").select("wh")
+    within = cut(spans.join(mixed, "wh", "left_semi").select(F.col("__ld_th").alias("wh")).distinct())
+    some = _map_of(within)
+    if within.count() <= BROADCAST_ROWS:  # else the map alone tells these texts
+        texts = texts.join(F.broadcast(within), F.col("__ld_th") == F.col("wh"), "left_semi")
+    seen = cut(texts.mapInArrow(_windows(words, _map_of(mixed), some), f"{_KEYS}, h1 long, h2 long, pos int"))
     again = cut(seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(at("pos")).alias("first")).where("n > 1").select("h1", "h2", "first"))
     single = seen.join(again, ["h1", "h2"]).where(at("pos") != F.col("first")).select(*KEYS, F.col("pos").alias("a"), F.col("pos").alias("b"))
     starts = whole.unionByName(single).groupBy(*KEYS).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
@@ -179,23 +203,21 @@ def passage_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            text, cuts = batch.column(place), batch.column(len(names))
-            hit = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
+            text = [without(t, c) for t, c in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
             columns = batch.columns[:-1]
-            if len(hit):
-                new = text.to_pylist()
-                for k in hit:
-                    new[k] = without(new[k], cuts[int(k)].as_py())
-                columns[place] = pa.array(new, text.type)
+            columns[place] = pa.array(text, batch.column(place).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return marked.mapInArrow(run, docs.schema)
+    same = marked.where("__ld_cut is null").select(*names)
+    return same.unionByName(marked.where("__ld_cut is not null").mapInArrow(run, docs.schema))
 
 
 def dedup_report(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_cut, text) of every row of ``docs``: ``line_dedup``, then ``passage_dedup`` of what it left.
 
     n_lines and n_removed count lines before and cut by the first, n_cut the characters that the second took."""
-    lines = cut(line_dedup_report(docs)).withColumn("n_cut", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    lines = cut(line_dedup_report(docs))
+    release(docs.sparkSession)
+    lines = lines.withColumn("n_cut", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
     out = passage_dedup(lines, words)
     return out.withColumn("n_cut", F.col("n_cut") - F.coalesce(F.char_length("text"), F.lit(0)))

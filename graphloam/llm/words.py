@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 
@@ -57,13 +57,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def prefix_sums(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the first 0, 1, 2 ... codes, each times BASE ** its place, and the inverse powers."""
+    up, down = powers(len(code) + 1)
+    sums = np.zeros(len(code) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.multiply(code, up[: len(code)], out=sums[1:])
+        np.cumsum(sums[1:], out=sums[1:])
+    return sums, down
+
+
 class Hasher:
     """Hashes of any ranges of an array of code points (or of other numbers under 0x110000), in constant time each."""
 
     def __init__(self, x: np.ndarray):
-        up, self.down = powers(len(x) + 1)
-        with np.errstate(over="ignore"):
-            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values()[x] * up[: len(x)], dtype=np.uint64)))
+        self.sums, self.down = prefix_sums(values().take(x))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -85,13 +93,18 @@ class Texts:
         self.x = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.begin = np.cumsum(size) - size
-        self.kind = classes()[self.x]
-        inside = ~ascii_space()[self.x] if spaces == "ascii" else (self.kind & 7) == LETTER if spaces == "letters" else self.kind != SPACE
+        inside = (self.x != 32) & (self.x - np.uint32(9) > 4) if spaces == "ascii" else (self.kind & 7) == LETTER if spaces == "letters" else self.kind != SPACE
         self.split(inside)
 
+    @cached_property
+    def kind(self) -> np.ndarray:
+        return classes()[self.x]
+
     def split(self, inside: np.ndarray) -> None:
         """Words are the runs of code points that are ``inside``."""
-        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0))
+        edge = inside.copy()
+        np.not_equal(inside[1:], inside[:-1], out=edge[1:])
+        edge = np.flatnonzero(edge)
         self.start, self.end = edge[::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.begin)  # of each text
         self.count = np.diff(np.append(self.first, len(self.start)))

@@ -509,3 +509,33 @@ def test_queries_match_their_sql(spark, name):
     cols = want.columns
     got = queries.QUERIES[name](spark, SMALL).select(*cols).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
+def test_first_lowest_is_argmin():
+    rng = np.random.default_rng(5)
+    for size, width in ((0, 26), (7, 26), (26, 26), (200, 1), (200, 2), (200, 5), (200, 26), (200, 27)):
+        x = rng.integers(0, 9, size).astype(np.uint64)
+        n = max(size - width + 1, 0)
+        assert passage_dedup._first_lowest(x, width)[:n].tolist() == [k + int(x[k : k + width].argmin()) for k in range(n)]
+
+
+def test_texts_without_mixed_spans_are_not_read_again(spark):
+    """The last pass over the texts hashes the windows of those in its map alone."""
+    texts = [" ".join(f"w{k * j}" for k in range(90)) for j in (1, 7)]
+    docs = docs_of(spark, list(enumerate(texts))).selectExpr("doc_id AS __ld_id", "false AS __ld_null", "xxhash64(text) AS __ld_th", "text")
+    full = spark.sparkContext.broadcast(b"\xff" * (1 << (decontaminate.MAP_BITS - 3)))
+    one = decontaminate._map_of(docs.where("__ld_id = 1").selectExpr("__ld_th AS wh"))
+    kind = "__ld_id long, __ld_null boolean, __ld_th long, h1 long, h2 long, pos int"
+    got = docs.mapInArrow(passage_dedup._windows(50, full, one), kind).collect()
+    assert [(r[0], r.pos) for r in got] == [(1, k) for k in range(41)]
+
+
+def test_spans_are_merged_row_by_row():
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 300):
+        row, a = rng.integers(0, 20, size), rng.integers(0, 60, size)
+        b = a + rng.integers(1, 9, size)
+        inside = {(r, k) for r, x, y in zip(row.tolist(), a.tolist(), b.tolist(), strict=True) for k in range(x, y)}
+        got = list(zip(*(x.tolist() for x in passage_dedup.merge_spans(row, a, b)), strict=True))
+        assert got == sorted(got) and {(r, k) for r, x, y in got for k in range(x, y)} == inside
+        assert all(p[0] < q[0] or p[2] < q[1] for p, q in zip(got, got[1:], strict=False))
