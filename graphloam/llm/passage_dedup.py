@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, mix, release, text_batches
@@ -102,20 +102,41 @@ def _spans(words: int, seen):
     return run
 
 
+def later_ones(h1: np.ndarray, h2: np.ndarray, order: list[np.ndarray]) -> np.ndarray:
+    """Of rows with equal hashes all but the first one in the order of the columns ``order``, and but what equals it there."""
+    later = np.zeros(len(h1), bool)
+    by = np.argsort(h1)
+    same = h1[by][1:] == h1[by][:-1]
+    some = by[np.append(same, False) | np.append(False, same)] if len(by) else by
+    some = some[np.lexsort([x[some] for x in (*order[::-1], h2, h1)])]
+    new = np.append(True, (h1[some][1:] != h1[some][:-1]) | (h2[some][1:] != h2[some][:-1]))[: len(some)]
+    first = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+    later[some] = np.any([x[some] != x[first] for x in order], 0)
+    return later
+
+
 def _windows(words: int, seen, within):
-    """keys, text -> (keys, h1, h2, pos): the windows whose smallest hash is in the map ``seen``; texts whose hash isn't in ``within`` have none."""
+    """keys, text -> (keys, h1, h2, pos, salt): the windows whose smallest hash is in the map ``seen``; texts whose hash isn't in ``within`` have none.
+
+    salt: zero for those that may be the first of their kind; those that another one in their batch precedes have the
+    text's hash with its lowest bit set, so that no place has to take all copies of a frequent window."""
 
     def run(batches):
         bits, some = np.frombuffer(seen.value, np.uint8), np.frombuffer(within.value, np.uint8)
-        batches = (b.filter(pa.array(_held(some, b.column(2).to_numpy().view(np.uint64)))) for b in batches)
-        for piece, texts in text_batches(batches, chars=CHUNK_CHARS):
-            t, code, at = _coded(texts, words)
-            g, low = _lowest(code, at, words)
-            at = at[_held(bits, g[low])]
-            of = t.own[at]
-            keys = [piece.column(k).take(pa.array(of)) for k in range(3)]
-            hashes = [pa.array(Sums(c)(at, at + words).view(np.int64)) for c in (code, mix(code ^ SALT))]
-            yield pa.RecordBatch.from_arrays([*keys, *hashes, pa.array((at - t.first[of]).astype(np.int32))], names=[*KEYS, "h1", "h2", "pos"])
+        for batch in batches:
+            batch = batch.filter(pa.array(_held(some, batch.column(2).to_numpy().view(np.uint64))))
+            out = []
+            for piece, texts in text_batches([batch], chars=CHUNK_CHARS):
+                t, code, at = _coded(texts, words)
+                g, low = _lowest(code, at, words)
+                at = at[_held(bits, g[low])]
+                of = t.own[at]
+                keys = [piece.column(k).to_numpy(zero_copy_only=False)[of] for k in range(3)]
+                out.append([*keys, *(Sums(c)(at, at + words).view(np.int64) for c in (code, mix(code ^ SALT))), (at - t.first[of]).astype(np.int32)])
+            if out:
+                ids, null, th, h1, h2, pos = map(np.concatenate, zip(*out, strict=True))
+                salt = np.where(later_ones(h1, h2, [null, ids, th, pos]), th | 1, 0)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (ids, null, th, h1, h2, pos, salt))], names=[*KEYS, "h1", "h2", "pos", "salt"])
 
     return run
 
@@ -191,9 +212,9 @@ def passage_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     some = _map_of(within)
     if within.count() <= BROADCAST_ROWS:  # else the map alone tells these texts
         texts = texts.join(F.broadcast(within), F.col("__ld_th") == F.col("wh"), "left_semi")
-    seen = cut(texts.mapInArrow(_windows(words, _map_of(mixed), some), f"{_KEYS}, h1 long, h2 long, pos int"))
-    again = cut(seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(at("pos")).alias("first")).where("n > 1").select("h1", "h2", "first"))
-    single = seen.join(again, ["h1", "h2"]).where(at("pos") != F.col("first")).select(*KEYS, F.col("pos").alias("a"), F.col("pos").alias("b"))
+    seen = texts.mapInArrow(_windows(words, _map_of(mixed), some), f"{_KEYS}, h1 long, h2 long, pos int, salt long")
+    place = F.rank().over(Window.partitionBy("h1", "h2", "salt").orderBy("__ld_null", "__ld_id", "__ld_th", "pos"))
+    single = seen.withColumn("place", place).where("salt <> 0 or place > 1").select(*KEYS, F.col("pos").alias("a"), F.col("pos").alias("b"))
     starts = whole.unionByName(single).groupBy(*KEYS).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     starts = cut(starts.mapInArrow(_merged(words), f"{_KEYS}, __ld_cut array<struct<a int, b int>>"))
     if (starts.agg(F.sum(F.size("__ld_cut"))).first()[0] or 0) <= BROADCAST_ROWS:

@@ -525,7 +525,7 @@ def test_texts_without_mixed_spans_are_not_read_again(spark):
     docs = docs_of(spark, list(enumerate(texts))).selectExpr("doc_id AS __ld_id", "false AS __ld_null", "xxhash64(text) AS __ld_th", "text")
     full = spark.sparkContext.broadcast(b"\xff" * (1 << (decontaminate.MAP_BITS - 3)))
     one = decontaminate._map_of(docs.where("__ld_id = 1").selectExpr("__ld_th AS wh"))
-    kind = "__ld_id long, __ld_null boolean, __ld_th long, h1 long, h2 long, pos int"
+    kind = "__ld_id long, __ld_null boolean, __ld_th long, h1 long, h2 long, pos int, salt long"
     got = docs.mapInArrow(passage_dedup._windows(50, full, one), kind).collect()
     assert [(r[0], r.pos) for r in got] == [(1, k) for k in range(41)]
 
@@ -539,3 +539,26 @@ def test_spans_are_merged_row_by_row():
         got = list(zip(*(x.tolist() for x in passage_dedup.merge_spans(row, a, b)), strict=True))
         assert got == sorted(got) and {(r, k) for r, x, y in got for k in range(x, y)} == inside
         assert all(p[0] < q[0] or p[2] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
+def test_later_windows_of_a_batch():
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 2, 400):
+        h1, h2, ids, pos = rng.integers(0, 40, size), rng.integers(0, 3, size), rng.integers(0, 9, size), rng.integers(0, 5, size)
+        rows = list(zip(h1.tolist(), h2.tolist(), ids.tolist(), pos.tolist(), strict=True))
+        first = {}
+        for a, b, *at in sorted(rows):
+            first.setdefault((a, b), (a, b, *at))
+        assert passage_dedup.later_ones(h1, h2, [ids, pos]).tolist() == [first[r[:2]] != r for r in rows]
+
+
+def test_repeated_rows_keep_a_passage_that_others_have_too(spark):
+    """Rows of one id and text are one document: the passage stays in both, and goes from what follows."""
+    rng = np.random.default_rng(6)
+    shared = [f"s{k}" for k in rng.integers(0, 999, 70)]
+    text = {i: " ".join([f"a{i}x{k}" for k in range(5)] + shared[i % 3 : 70 - i % 2] + [f"b{i}"]) for i in (1, 2, 3, 4)}
+    rows = [(1, text[1]), (1, text[1]), (2, text[2]), (3, text[3]), (3, text[3]), (4, text[4])]
+    got = sorted((r.doc_id, r.text) for r in passage_dedup.passage_dedup(docs_of(spark, rows).coalesce(1)).collect())
+    assert got[0] == got[1] == (1, text[1]) and got[3] == got[4]
+    want = brute_passages([(i, text[i]) for i in text], 50)
+    assert [WORDS.findall(t) for _, t in got] == [want[i] for i, _ in rows]
