@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import cut, text_batches
+from .common import cut, small_side, text_batches
 
 #: Five blocks of the 64 bits.  Two differing bits touch two blocks at most, so three blocks are equal.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -209,10 +209,15 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, budget: int = MAX_BITS
     """
     names = docs.columns
     low = -(1 << 63)
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("th").alias("t"))
-    best = _grouped(docs, words, budget).groupBy("root").agg(F.min(rank).alias("k"))
-    best = best.select(F.coalesce("k.d", F.lit(low)).alias("__sh_id"), F.col("k.n").alias("__sh_null"), F.col("k.t").alias("__sh_th"))
-    keys = ["__sh_id", "__sh_null", "__sh_th"]
-    keyed = docs.withColumns({"__sh_id": F.coalesce("doc_id", F.lit(low)), "__sh_null": F.col("doc_id").isNull(), "__sh_th": F.xxhash64("text")})
-    one = keyed.join(best, keys, "left_semi").groupBy(*keys).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("__sh_row"))
-    return one.select("__sh_row.*")
+    keys = ["__sh_null", "__sh_id", "__sh_th"]
+    key = lambda th: [F.col("doc_id").isNull().alias(keys[0]), F.coalesce("doc_id", F.lit(low)).alias(keys[1]), th.alias(keys[2])]
+    each = cut(_grouped(docs, words, budget).select("root", *key(F.col("th"))).groupBy("root", *keys).agg(F.count("*").alias("n")))
+    best = each.groupBy("root").agg(F.min(F.struct(*keys, "n")).alias("k")).select("k.*")
+    several = cut(best.where("n > 1").select(*keys))
+    gone = cut(each.join(best, keys, "left_anti").select(*keys).unionByName(several))
+    keyed = docs.select(*names, *key(F.xxhash64("text")))
+    out = keyed.join(small_side(gone), keys, "left_anti").select(*names)  # few texts go: the others stay in place
+    if several.isEmpty():
+        return out
+    one = keyed.join(small_side(several), keys, "left_semi").groupBy(*keys).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("__sh_row"))
+    return out.unionByName(one.select("__sh_row.*"))

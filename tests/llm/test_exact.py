@@ -562,3 +562,11 @@ def test_repeated_rows_keep_a_passage_that_others_have_too(spark):
     assert got[0] == got[1] == (1, text[1]) and got[3] == got[4]
     want = brute_passages([(i, text[i]) for i in text], 50)
     assert [WORDS.findall(t) for _, t in got] == [want[i] for i, _ in rows]
+
+
+def test_near_dedup_leaves_texts_in_place(spark, capsys):
+    """Texts are not shuffled where few go, and where none of them repeat row by row."""
+    docs = read(spark, "documents").dropDuplicates(["doc_id"])
+    docs = docs.sparkSession.createDataFrame(docs.limit(300).toPandas(), docs.schema)
+    simhash.drop_near_duplicates(docs).explain()
+    assert not re.search("Exchange (hash|range)partitioning", capsys.readouterr().out)
