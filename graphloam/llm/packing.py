@@ -23,14 +23,14 @@ GROUP = 4096
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 5, 8
 #: How far the orders in which first solutions place their pieces are from falling lengths.
 NOISE = 0.5
-#: Tasks that islands are spread over, at most; there is one for each island up to there.
-TASKS = 20_000
+#: Islands that breed in one task (a twentieth of a second each in an epoch), up to so many tasks.
+ISLES, TASKS = 8, 20_000
 #: Sequences filled less than this are opened again and their pieces packed anew with those of other groups.
 OPEN_BELOW = 0.97
-#: Words whose ids a worker keeps.
-WORDS = 400_000
-#: Characters of words that are encoded in one go.
-BATCH = 20_000
+#: Parts of texts, and ids of them, that a worker keeps.
+WORDS, IDS = 1_000_000, 16_000_000
+#: Characters of parts that are encoded as one text.
+BATCH = 2_000
 
 # The white space and the contractions of the tokenizer's splitting pattern.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -75,9 +75,39 @@ class Tokens:
         self.reset()
 
     def reset(self) -> None:
-        self.at: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin, self.size, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.flat, self.used, self.known = np.zeros(1 << 16, np.uint32), 0, 0
+        self.make_slots(1 << 16)
+
+    def make_slots(self, n: int) -> None:
+        """An empty table of ``n`` (a power of two) slots: a part's hash, where its ids begin, how many they are (0: free)."""
+        self.hashes, self.begin, self.size = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each hash begin and how many they are (0: not known)."""
+        slot = (h & np.uint64(len(self.size) - 1)).astype(np.int64)
+        size = self.size[slot]
+        todo = np.flatnonzero((self.hashes[slot] != h) & (size > 0))
+        while len(todo):  # another part is there: look on
+            slot[todo] = at = (slot[todo] + 1) & (len(self.size) - 1)
+            size[todo] = self.size[at]
+            todo = todo[(self.hashes[at] != h[todo]) & (size[todo] > 0)]
+        return self.begin[slot], size
+
+    def keep(self, h: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Give distinct hashes that aren't known a slot each; at least half of all slots stay free."""
+        self.known += len(h)
+        if 2 * self.known > len(self.size):
+            held = self.size > 0
+            h, begin, size = (np.concatenate((old[held], new)) for old, new in ((self.hashes, h), (self.begin, begin), (self.size, size)))
+            self.make_slots(1 << (2 * self.known).bit_length())
+        slot, todo = (h & np.uint64(len(self.size) - 1)).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            ready = todo[self.size[slot[todo]] == 0]
+            self.hashes[slot[ready]] = h[ready]  # of several for one slot the last stays
+            won = ready[self.hashes[slot[ready]] == h[ready]]
+            self.begin[slot[won]], self.size[slot[won]] = begin[won], size[won]
+            todo = todo[self.hashes[slot[todo]] != h[todo]]
+            slot[todo] = (slot[todo] + 1) & (len(self.size) - 1)
 
     def plain(self, text: str) -> bool:
         if text.isascii():
@@ -86,29 +116,24 @@ class Tokens:
             return False
         return unicodedata.is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text and not any(s in text for s in self.special)
 
-    def learn(self, hashes: list[int], parts: list[str]) -> bool:
+    def learn(self, hashes: np.ndarray, parts: list[str]) -> bool:
         """Keep the ids of new parts; many are encoded as one text, in which the ids that end a part show where each ends.
 
         False, and nothing is kept, if the tokenizer splits them in another way."""
         size = np.cumsum([len(w) + 1 for w in parts])
-        cuts = np.searchsorted(size, np.arange(0, size[-1] + BATCH, BATCH))
+        cuts = np.append(np.searchsorted(size, np.arange(0, size[-1], BATCH)), len(parts))
         joined = [" ".join(parts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
         ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(parts):
             return False
-        total, n = len(ids), len(self.at)
+        total = len(ids)
         if self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros(len(self.flat) + total, np.uint32)))
-        if n + len(parts) > len(self.begin):
-            more = np.zeros(len(self.begin) + len(parts), np.int64)
-            self.begin, self.size = np.concatenate((self.begin, more)), np.concatenate((self.size, more))
         self.flat[self.used : self.used + total] = ids
         first = np.concatenate(([0], ends[:-1]))
-        self.begin[n : n + len(parts)] = self.used + first
-        self.size[n : n + len(parts)] = ends - first
+        self.keep(hashes, self.used + first, ends - first)
         self.used += total
-        self.at.update(zip(hashes, range(n, n + len(parts)), strict=True))
         return True
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -136,7 +161,7 @@ class Tokens:
         return joined, x, start, end, np.searchsorted(start, np.cumsum(size) - size)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.at) > WORDS:
+        if self.known > WORDS or self.used > IDS:
             self.reset()
         out: list = [None] * len(texts)
         plain = [self.plain(t) for t in texts]
@@ -147,17 +172,19 @@ class Tokens:
         if not rest:
             return out
         joined, x, start, end, cuts = self.parts([texts[k].lower() for k in rest])
-        h, at, back = np.unique(Hasher(x)(start, end), return_index=True, return_inverse=True)
-        keys = h.tolist()
-        new = [k for k, v in enumerate(keys) if v not in self.at]
-        if new and not self.learn([keys[k] for k in new], [joined[start[at[k]] : end[at[k]]] for k in new]):
-            for k, ids in zip(rest, self.whole([texts[k] for k in rest]), strict=True):
-                out[k] = ids
-            return out
-        found = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))[back]
-        size = self.size[found]
+        h = Hasher(x)(start, end)
+        begin, size = self.find(h)
+        miss = np.flatnonzero(size == 0)
+        if len(miss):
+            new, at = np.unique(h[miss], return_index=True)
+            at = miss[at]
+            if not self.learn(new, [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]):
+                for k, ids in zip(rest, self.whole([texts[k] for k in rest]), strict=True):
+                    out[k] = ids
+                return out
+            begin[miss], size[miss] = self.find(h[miss])
         ends = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.repeat(self.begin[found] - ends[:-1], size) + np.arange(ends[-1])]
+        ids = self.flat[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
         cuts = ends[np.append(cuts, len(start))]
         for k, a, b in zip(rest, cuts[:-1], cuts[1:], strict=True):
             out[k] = ids[a:b]
@@ -310,7 +337,7 @@ def _islands(items: DataFrame, capacity: int, group: int, salt: int) -> DataFram
     packed = cut(packed.select("grp", F.col("x.key").alias("keys"), F.col("x.length").alias("lengths")))
     kind = "grp long, island int, elite array<int>, bins long, born int, begun long"
     # by number: islands are few bytes but much work, and partitions that are merged by bytes would breed one after another
-    tasks = min(groups * ISLANDS, TASKS)
+    tasks = min(-(-groups * ISLANDS // ISLES), TASKS)
     isles = packed.select("grp", "lengths", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island")).repartition(tasks, "grp", "island")
     state = cut(isles.mapInArrow(_evolve(capacity, 0), kind))
     for epoch in range(1, EPOCHS):  # each island's elite goes on to the next island of its group

@@ -316,6 +316,51 @@ def test_texts_are_encoded_whole_when_parts_differ(tokenizer, monkeypatch):
     assert [x.tolist() for x in t.encode(["one two", "three"])] == [e.ids for e in tokenizer.encode_batch(["one two", "three"], add_special_tokens=False)]
 
 
+def test_known_parts_share_slots_and_survive_growth():
+    t = packing.Tokens(queries.tokenizer_path())
+    near = np.arange(300, dtype=np.uint64) << np.uint64(40)  # all at home in one slot, 0 among them
+    far = np.unique(np.random.default_rng(3).integers(1, 1 << 63, 200_000, dtype=np.uint64))
+    slots = len(t.size)
+    for h in (near[:100], near[100:200], far):
+        at = t.known
+        t.keep(h, np.arange(at, at + len(h)) * 7, np.arange(at, at + len(h)) % 5 + 1)
+        held = np.concatenate((near[: min(t.known, 200)], far if t.known > 200 else far[:0]))
+        begin, size = t.find(held)
+        assert (begin == np.arange(len(held)) * 7).all() and (size == np.arange(len(held)) % 5 + 1).all()
+        assert not t.find(near[200:])[1].any()
+    assert len(t.size) > slots and 2 * t.known <= len(t.size)
+
+
+def test_parts_are_encoded_once(tokenizer):
+    from itertools import product
+
+    words = ["".join(w) for w in product("abcdefghijklmnopqrstuvwxyz", repeat=4)]
+    texts = [" ".join(words[k : k + 2000]) for k in range(0, len(words), 2000)]
+    t = packing.Tokens(queries.tokenizer_path())
+    for k in range(0, len(texts), 50):  # 500,000 characters of parts: a multiple of BATCH
+        t.encode(texts[k : k + 50])
+    t.learn = None  # nothing is left to learn
+    got = t.encode(texts[::40])
+    assert [x.tolist() for x in got] == [e.ids for e in tokenizer.encode_batch(texts[::40], add_special_tokens=False)]
+
+
+def test_parts_may_be_forgotten(tokenizer, monkeypatch):
+    texts = ["one two three", "four five", "one 1 two 2", "six"]
+    for name in ("WORDS", "IDS"):
+        monkeypatch.setattr(packing, name, 2)
+        t = packing.Tokens(queries.tokenizer_path())
+        assert [t.encode([x])[0].tolist() for x in texts] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert t.known == 1
+        monkeypatch.undo()
+
+
+def test_islands_of_one_task_breed_as_alone(spark, monkeypatch):
+    items = spark.range(600).selectExpr("id as key", "pmod(xxhash64(id), 2000) + 1 as length")
+    together = sorted(packing._islands(items, 2048, 64, 1).collect())
+    monkeypatch.setattr(packing, "ISLES", 1)
+    assert together == sorted(packing._islands(items, 2048, 64, 1).collect()) and len(together) == 600
+
+
 def test_sequences_come_out_of_crossover(spark):
     got = queries.op8_packing(spark, "/root/testdata/sf0.01").toPandas()
     parts = got[got.generation.notna()]
